@@ -66,9 +66,12 @@ def local_seconds(local: Column) -> Column:
 
 
 def local_micros(local: Column) -> Column:
-    # extract() yields DECIMAL(8,6) seconds, so the product is exact.
-    fraction = (F.extract(F.lit("SECOND"), local) - F.second(local)) * 1_000_000
-    return local_seconds(local) * 1_000_000 + fraction.cast("bigint")
+    """Microseconds from 1970-01-01 00:00:00 on the same wall clock."""
+    # The difference of two TIMESTAMP_NTZ is exact; only an interval of a single
+    # unit can become a number.
+    since = local - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    seconds = since.cast("interval second").cast("decimal(20,6)")
+    return (seconds * 1_000_000).cast("bigint")
 
 
 def floor_to(number: Column, step: int) -> Column:

@@ -35,18 +35,22 @@ def remove_bursts(events: DataFrame, threshold_ms=BURST_MS) -> DataFrame:
     width = threshold_micros(threshold_ms) + 1
     cell = times.floor_to(F.coalesce(F.unix_micros("event_time"), F.lit(0)), width)
     rows = events.select(
-        *KEYS, "event_time", "event_pos", whole_row(events),
+        *KEYS, "event_time", whole_row(events),
         F.when(is_keyless(), F.col("event_pos")).alias("_alone"),
         F.posexplode(F.array(cell, cell + width)).alias("_half", "_cell"))
     firsts = first_of_bursts(rows.withColumn("_own", F.col("_half") == 0), threshold_ms,
-                             [*KEYS, "_alone", "_cell"])
+                             ["_cell", *KEYS, "_alone"])
     return firsts.select(*events.columns)
 
 
 def whole_row(events: DataFrame):
-    # Without the keys: they stay plain grouping columns, so that a filter on
-    # the user of the result reaches the scan.
-    return F.struct(*[c for c in events.columns if c not in KEYS]).alias("_row")
+    """All columns but the keys, in the order that decides which row is first.
+
+    The keys stay plain grouping columns, so that a filter on the user of the
+    result reaches the scan. Columns must be orderable, which maps are not.
+    """
+    order = ["event_time", "event_pos"]
+    return F.struct(*order, *[c for c in events.columns if c not in KEYS + order]).alias("_row")
 
 
 def is_keyless():
@@ -56,17 +60,16 @@ def is_keyless():
 
 def first_of_bursts(rows: DataFrame, threshold_ms, group: list[str]) -> DataFrame:
     """The aggregation of ``remove_bursts``: ``_row`` is kept from rows in their
-    own cell; the others only lend their time and travel without content."""
+    own cell; the others only lend their time and travel without content. With
+    the cell first among the keys, sorting by them compares numbers."""
     own, time = F.col("_own"), F.col("event_time")
     limit = F.expr(f"interval {threshold_micros(threshold_ms)} microseconds")
     firsts = rows.select(
         *group,
         F.when(own, F.col("_row")).alias("_row"),
-        F.when(own, F.struct("event_time", "event_pos")).alias("_order"),
         F.when(~own, time).alias("_before"),
     ).groupBy(*group).agg(
-        F.min_by("_row", "_order").alias("_row"),
-        F.max("_before").alias("_before"),
+        F.min("_row").alias("_row"), F.max("_before").alias("_before"),
     )
     return firsts.where(
         F.col("_row").isNotNull()

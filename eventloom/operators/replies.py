@@ -89,20 +89,24 @@ def reply_audit(parsed: DataFrame, events: DataFrame) -> DataFrame:
     """Whether each structured reply keeps to what was asked of it: at least one
     event per session, only events the user has, at most 10 sessions and at most
     3 observations."""
-    sessions = reply_sessions(parsed)
-    sizes = sessions.groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("session_count"),
-        F.count_if(F.col("event_count") == 0).alias("empty_sessions"))
-    named = sessions.select(*KEYS, F.explode("events").alias("event_name")).distinct()
-    real = events.select("user_uuid", "event_name").distinct()
-    unknown = named.join(real, ["user_uuid", "event_name"], "left_anti").groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("unknown_events"))
-    notes = reply_notes(parsed).select(
-        *KEYS, F.size("key_observations").cast("bigint").alias("observation_count"))
-    counts = ["session_count", "empty_sessions", "unknown_events", "observation_count"]
+    sessions = F.coalesce("parsed.interpreted_sessions",
+                          F.array().cast(REPLY_SCHEMA["interpreted_sessions"].dataType))
+    names = F.transform(sessions, lambda session: F.coalesce(
+        session["events"], F.array().cast("array<string>")))
+    notes = F.coalesce(F.size("parsed.key_observations"), F.lit(0))
+    counts = {
+        "session_count": F.size(sessions),
+        "empty_sessions": F.size(F.filter(names, lambda listed: F.size(listed) == 0)),
+        "observation_count": F.greatest(notes, F.lit(0)),
+    }
+    claimed = parsed.where("is_structured").select(
+        *KEYS, *[count.cast("bigint").alias(name) for name, count in counts.items()],
+        F.explode_outer(F.array_distinct(F.flatten(names))).alias("event_name"))
+    real = events.select("user_uuid", "event_name").distinct().withColumn("_real", F.lit(True))
+    unknown = F.col("event_name").isNotNull() & F.col("_real").isNull()
     return (
-        notes.join(sizes, KEYS, "left").join(unknown, KEYS, "left")
-        .select(*KEYS, *[F.coalesce(name, F.lit(0)).alias(name) for name in counts])
+        claimed.join(real, ["user_uuid", "event_name"], "left")
+        .groupBy(*KEYS, *counts).agg(F.count_if(unknown).alias("unknown_events"))
         .withColumn("passes", (F.col("empty_sessions") == 0) & (F.col("unknown_events") == 0)
                     & (F.col("session_count") <= MAX_SESSIONS)
                     & (F.col("observation_count") <= MAX_OBSERVATIONS))

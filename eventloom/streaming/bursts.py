@@ -20,9 +20,9 @@ def remove_bursts_stream(events: DataFrame, delay: str = "10 minutes",
     second_half = F.col("_pair.start") + F.expr(f"interval {width} microseconds")
     rows = (
         events.where(~is_keyless()).withWatermark("event_time", delay)
-        .select(*KEYS, "event_time", "event_pos", whole_row(events))
+        .select(*KEYS, "event_time", whole_row(events))
         .withColumn("_pair", pair)
         .withColumn("_own", F.col("event_time") >= second_half)
     )
-    firsts = first_of_bursts(rows, threshold_ms, [*KEYS, "_pair"])
-    return firsts.unionByName(events.where(is_keyless()))
+    firsts = first_of_bursts(rows, threshold_ms, ["_pair", *KEYS])
+    return firsts.select(*events.columns).unionByName(events.where(is_keyless()))
