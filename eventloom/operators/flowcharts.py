@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from eventloom.operators.journeys import journey_nodes, known_users
 from eventloom.operators.parts import in_sequence, part_of
-from eventloom.operators.sessions import session_label
+from eventloom.operators.sessions import number_events, session_label
 from eventloom.operators.users import select_category
 from eventloom.schema import NODES_PER_SESSION, SESSION_GAP_MINUTES, SESSIONS_PER_PART
 
@@ -27,15 +27,20 @@ def session_block():
 
 def flowchart_text(events: DataFrame, users: DataFrame | None = None,
                    max_nodes=NODES_PER_SESSION, gap_minutes=SESSION_GAP_MINUTES,
-                   category: str | None = None,
-                   sessions_per_part=SESSIONS_PER_PART) -> DataFrame:
-    """Chart per user. Charts of more than ``sessions_per_part`` sessions come in
-    parts; joined by line breaks they are the whole chart. Users given but
-    without events get the placeholder chart."""
+                   category: str | None = None) -> DataFrame:
+    """Chart per user from plain events, of one category if given."""
     if category is not None:
         events = select_category(events, category)
+    return flowcharts(number_events(events, gap_minutes, max_nodes), users)
+
+
+def flowcharts(numbered: DataFrame, users: DataFrame | None = None,
+               sessions_per_part=SESSIONS_PER_PART) -> DataFrame:
+    """Chart per user from numbered events. Charts of more than
+    ``sessions_per_part`` sessions come in parts; joined by line breaks they are
+    the whole chart. Users given but without events get the placeholder chart."""
     blocks = (
-        journey_nodes(events, max_nodes, gap_minutes)
+        journey_nodes(numbered)
         .withColumn("_lines", session_block())
         .groupBy("user_uuid", "session_id", "session_count")
         .agg(F.min("event_local").alias("_first"), F.max("event_local").alias("_last"),
@@ -65,6 +70,6 @@ def flowchart_text(events: DataFrame, users: DataFrame | None = None,
     if users is None:
         return charts
     no_events = known_users(users).join(
-        events.select("user_uuid").distinct(), "user_uuid", "left_anti")
+        numbered.select("user_uuid").distinct(), "user_uuid", "left_anti")
     return charts.unionByName(no_events.select(
         "user_uuid", F.lit(1).cast("bigint").alias("part"), F.lit(EMPTY_CHART).alias("flowchart")))

@@ -1,5 +1,8 @@
 """Journeys: ordered event tables, transitions, chart nodes and nested records.
 
+All operators here take the output of ``sessions.number_events``, so that events
+are ordered once, stored if wished, and used many times.
+
 Nested results are cut into numbered parts of bounded size, so that a user with
 very many events is neither truncated nor gathered in one place. Most users have
 a single part, which then is the whole journey.
@@ -10,16 +13,14 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from eventloom.functions import texts, times
 from eventloom.operators import users as user_ops
 from eventloom.operators.parts import in_sequence, part_of, with_parts
-from eventloom.operators.sessions import number_events
-from eventloom.schema import ITEMS_PER_PART, NODES_PER_SESSION, SESSION_GAP_MINUTES
+from eventloom.schema import ITEMS_PER_PART
 
 ARROW = " -> "
 
 
-def journey_events(events: DataFrame, gap_minutes=SESSION_GAP_MINUTES) -> DataFrame:
+def journey_events(numbered: DataFrame) -> DataFrame:
     """Flat journey: one row per event with its sequence, session and calendar."""
-    numbered = times.calendar(number_events(events, gap_minutes))
-    return numbered.select(
+    return times.calendar(numbered).select(
         "user_uuid", "sequence", "event_name", "category",
         F.col("event_date").alias("date"), F.col("event_day").alias("day"),
         times.strip_quotes(F.col("event_time_only")).alias("time"),
@@ -27,12 +28,11 @@ def journey_events(events: DataFrame, gap_minutes=SESSION_GAP_MINUTES) -> DataFr
     )
 
 
-def journey_path(events: DataFrame, items_per_part=ITEMS_PER_PART,
-                 gap_minutes=SESSION_GAP_MINUTES) -> DataFrame:
+def journey_path(numbered: DataFrame, items_per_part=ITEMS_PER_PART) -> DataFrame:
     """Event names of a user joined by arrows. The parts of a user, joined by
     another arrow, are the whole path."""
     return (
-        number_events(events, gap_minutes)
+        numbered
         .groupBy("user_uuid", part_of(F.col("sequence"), items_per_part).alias("part"))
         .agg(in_sequence(F.col("sequence"), F.col("event_name")).alias("_names"))
         .select("user_uuid", "part", F.size("_names").cast("bigint").alias("event_count"),
@@ -40,12 +40,11 @@ def journey_path(events: DataFrame, items_per_part=ITEMS_PER_PART,
     )
 
 
-def session_path(events: DataFrame, items_per_part=ITEMS_PER_PART,
-                 gap_minutes=SESSION_GAP_MINUTES) -> DataFrame:
+def session_path(numbered: DataFrame, items_per_part=ITEMS_PER_PART) -> DataFrame:
     """The same per session."""
     place = F.col("session_sequence")
     return (
-        number_events(events, gap_minutes)
+        numbered
         .groupBy("user_uuid", "session_id", part_of(place, items_per_part).alias("part"))
         .agg(in_sequence(place, F.col("event_name")).alias("_names"))
         .select("user_uuid", "session_id", "part",
@@ -53,12 +52,11 @@ def session_path(events: DataFrame, items_per_part=ITEMS_PER_PART,
     )
 
 
-def journey_nodes(events: DataFrame, max_nodes=NODES_PER_SESSION,
-                  gap_minutes=SESSION_GAP_MINUTES) -> DataFrame:
-    """Chart nodes: the first ``max_nodes`` events of every session, numbered
-    through all sessions of the user."""
+def journey_nodes(numbered: DataFrame) -> DataFrame:
+    """Chart nodes: the first events of every session, as many as the numbering
+    was told, numbered through all sessions of the user."""
     return (
-        number_events(events, gap_minutes, max_nodes)
+        numbered
         .where(F.col("node_sequence").isNotNull())
         .select(
             "user_uuid", "session_id", "session_sequence", "node_sequence",
@@ -70,8 +68,7 @@ def journey_nodes(events: DataFrame, max_nodes=NODES_PER_SESSION,
     )
 
 
-def transitions(events: DataFrame, gap_minutes=SESSION_GAP_MINUTES,
-                items_per_part=ITEMS_PER_PART) -> DataFrame:
+def transitions(numbered: DataFrame, items_per_part=ITEMS_PER_PART) -> DataFrame:
     """Every step from one event to the next within a session.
 
     A session is cut into runs of ``items_per_part`` events. The first event of
@@ -81,7 +78,7 @@ def transitions(events: DataFrame, gap_minutes=SESSION_GAP_MINUTES,
     place = F.col("session_sequence")
     part = part_of(place, items_per_part)
     both = (place > 1) & ((place - 1) % items_per_part == 0)
-    runs = number_events(events, gap_minutes).select(
+    runs = numbered.select(
         "user_uuid", "session_id", "session_sequence", "event_name",
         F.explode(F.when(both, F.array(part - 1, part)).otherwise(F.array(part))).alias("_run"))
     in_run = W.partitionBy("user_uuid", "session_id", "_run").orderBy("session_sequence")
@@ -101,13 +98,12 @@ def transition_counts(steps: DataFrame) -> DataFrame:
         F.countDistinct("user_uuid").alias("user_count"))
 
 
-def journey_edges(events: DataFrame, max_nodes=NODES_PER_SESSION,
-                  gap_minutes=SESSION_GAP_MINUTES) -> DataFrame:
+def journey_edges(numbered: DataFrame) -> DataFrame:
     """Chart edges between the nodes of ``journey_nodes``."""
     in_session = W.partitionBy("user_uuid", "session_id").orderBy("session_sequence")
     following = F.lead(F.struct("node_id", "event_name")).over(in_session)
     return (
-        journey_nodes(events, max_nodes, gap_minutes)
+        journey_nodes(numbered)
         .withColumn("_next", following).where(F.col("_next").isNotNull())
         .select("user_uuid", "session_id",
                 F.col("node_id").alias("from_node"), F.col("_next.node_id").alias("to_node"),
@@ -130,11 +126,11 @@ def counts_as_map(counts: DataFrame, name: str, alias: str) -> DataFrame:
     return counts.groupBy("user_uuid").agg(F.map_from_entries(entries).alias(alias))
 
 
-def journey_record(events: DataFrame, users: DataFrame | None = None,
+def journey_record(numbered: DataFrame, users: DataFrame | None = None,
                    items_per_part=ITEMS_PER_PART) -> DataFrame:
     """Nested journey with its metadata, one row per user and part. Users given
     but without events get an empty record."""
-    flat = journey_events(events)
+    flat = journey_events(numbered)
     parts = flat.groupBy("user_uuid", part_of(F.col("sequence"), items_per_part).alias("part")).agg(
         in_sequence(F.col("sequence"), F.struct(
             "sequence", "event_name", "category", "date", "day", "time")).alias("events"))
@@ -144,10 +140,10 @@ def journey_record(events: DataFrame, users: DataFrame | None = None,
         "event_categories", "event_breakdown",
     )
     per_user = (
-        user_ops.user_metrics(events)
-        .join(counts_as_map(user_ops.category_breakdown(events), "category",
+        user_ops.user_metrics(numbered)
+        .join(counts_as_map(user_ops.category_breakdown(numbered), "category",
                             "event_categories"), "user_uuid", "left")
-        .join(counts_as_map(user_ops.event_breakdown(events), "event_name",
+        .join(counts_as_map(user_ops.event_breakdown(numbered), "event_name",
                             "event_breakdown"), "user_uuid", "left")
         .select("user_uuid", "total_events", "unique_event_types", metadata.alias("metadata"))
     )

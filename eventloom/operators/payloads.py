@@ -13,7 +13,7 @@ from eventloom.schema import ITEMS_PER_PART
 DATA_HEADING = "\n\nUSER EVENT DATA:\n"
 
 
-def ordered_events(events: DataFrame, items_per_part) -> DataFrame:
+def ordered_events(numbered: DataFrame, items_per_part) -> DataFrame:
     item = F.struct(
         F.col("event_date"),
         times.strip_quotes(F.col("event_time_only")).alias("event_time"),
@@ -21,7 +21,7 @@ def ordered_events(events: DataFrame, items_per_part) -> DataFrame:
     )
     place = F.col("sequence")
     return (
-        times.calendar(number_events(events))
+        times.calendar(numbered)
         .groupBy("user_uuid", part_of(place, items_per_part).alias("part"))
         .agg(in_sequence(place, item).alias("events_ordered"))
     )
@@ -40,17 +40,18 @@ def repeated_events(repetition: DataFrame, items_per_part) -> DataFrame:
     )
 
 
-def ai_payload(events: DataFrame, repetition: DataFrame, users: DataFrame,
+def ai_payload(numbered: DataFrame, repetition: DataFrame, users: DataFrame,
                items_per_part=ITEMS_PER_PART) -> DataFrame:
-    """Ordered events and repetition summary of every user given.
+    """Ordered events and repetition summary of every user given. ``numbered`` is
+    the output of ``sessions.number_events``, or any events with ``sequence``.
 
     Long lists continue in further parts, each a payload with the totals of the
     whole user. A user without events gets the empty payload, whatever the
     repetition summary holds.
     """
-    listed = ordered_events(events, items_per_part)
+    listed = ordered_events(numbered, items_per_part)
     repeated = repeated_events(repetition, items_per_part)
-    totals = user_ops.user_metrics(events).select(
+    totals = user_ops.user_metrics(numbered).select(
         "user_uuid", "total_events", "unique_event_types")
     per_user = (
         known_users(users).join(totals, "user_uuid", "left")
@@ -91,8 +92,9 @@ def user_payloads(raw: DataFrame, cleaned: DataFrame, category="application",
     if repetition_scope not in ("all", "category"):
         raise ValueError("repetition_scope is 'all' or 'category'")
     counted = raw if repetition_scope == "all" else user_ops.select_category(raw, category)
-    return ai_payload(user_ops.select_category(cleaned, category), daily_repetition(counted),
-                      user_ops.unique_users(cleaned), items_per_part)
+    numbered = number_events(user_ops.select_category(cleaned, category))
+    return ai_payload(numbered, daily_repetition(counted), user_ops.unique_users(cleaned),
+                      items_per_part)
 
 
 def payload_json(payloads: DataFrame) -> DataFrame:

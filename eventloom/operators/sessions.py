@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from eventloom.functions import times
 from eventloom.operators.ordering import rank_in_slot, slot_of, slot_seconds
-from eventloom.operators.parts import in_sequence, part_of, with_parts
+from eventloom.operators.parts import in_sequence, part_of
 from eventloom.schema import ITEMS_PER_PART, NODES_PER_SESSION, SESSION_GAP_MINUTES
 
 PREVIEW_EVENTS = 6
@@ -33,6 +33,7 @@ def session_slots(events: DataFrame, gap_minutes=SESSION_GAP_MINUTES,
     by_slot = W.partitionBy("user_uuid").orderBy("_slot")
     so_far = by_slot.rowsBetween(W.unboundedPreceding, W.currentRow)
     whole = W.partitionBy("user_uuid")
+    session = W.partitionBy("user_uuid", "session_id")
     last = F.lag("_last").over(by_slot)
     gap = times.second_of_day(F.col("_first")) - times.second_of_day(last)
     breaks = ((F.col("_first").cast("date") != last.cast("date"))
@@ -52,14 +53,17 @@ def session_slots(events: DataFrame, gap_minutes=SESSION_GAP_MINUTES,
         .withColumn("_kept", kept)
         .withColumns({
             "_node_before": F.sum("_kept").over(so_far) - F.col("_kept"),
-            "session_count": F.max("session_id").over(whole)})
+            "session_count": F.max("session_id").over(whole),
+            "session_size": F.sum("_n").over(session),
+            "session_start": F.min("_first").over(session),
+            "session_end": F.max("_last").over(session)})
         .drop("_new", "_session_from", "_kept")
     )
 
 
 def number_events(events: DataFrame, gap_minutes=SESSION_GAP_MINUTES,
                   max_nodes=NODES_PER_SESSION) -> DataFrame:
-    """Add to every event of a known user:
+    """Add to every event of a known user the columns the journey operators use:
 
     ``sequence``          place among the events of the user, by wall clock
     ``session_id``        session of the user, from 1
@@ -67,6 +71,8 @@ def number_events(events: DataFrame, gap_minutes=SESSION_GAP_MINUTES,
     ``node_sequence``     place among the first ``max_nodes`` events of all
                           sessions of the user; null beyond those
     ``session_count``     sessions of the user
+    ``session_size``      events of the session
+    ``session_start``, ``session_end``  first and last time of the session
     """
     slots = session_slots(events, gap_minutes, max_nodes).drop("_n", "_first", "_last")
     rank = F.col("_rank")
@@ -81,25 +87,27 @@ def number_events(events: DataFrame, gap_minutes=SESSION_GAP_MINUTES,
             "session_id",
             place.alias("session_sequence"),
             F.when(place <= max_nodes, F.col("_node_before") + rank).alias("node_sequence"),
-            "session_count",
+            "session_count", "session_size", "session_start", "session_end",
         )
     )
 
 
+def summary_columns(first, last):
+    return [times.date_text(first).alias("session_date"),
+            times.clock_seconds(first).alias("start_time"),
+            times.clock_seconds(last).alias("end_time")]
+
+
 def session_summary(events: DataFrame, gap_minutes=SESSION_GAP_MINUTES) -> DataFrame:
-    """Date, first and last time and number of events of every session."""
+    """Date, first and last time and number of events of every session. It needs
+    the slots only, never the single events in order."""
     return (
         session_slots(events, gap_minutes)
         .groupBy("user_uuid", "session_id")
         .agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"),
              F.sum("_n").alias("event_count"))
-        .select(
-            "user_uuid", "session_id",
-            times.date_text(F.col("_first")).alias("session_date"),
-            times.clock_seconds(F.col("_first")).alias("start_time"),
-            times.clock_seconds(F.col("_last")).alias("end_time"),
-            "event_count",
-        )
+        .select("user_uuid", "session_id",
+                *summary_columns(F.col("_first"), F.col("_last")), "event_count")
     )
 
 
@@ -116,41 +124,38 @@ def event_item():
     )
 
 
-def session_cards(events: DataFrame, gap_minutes=SESSION_GAP_MINUTES,
-                  items_per_part=ITEMS_PER_PART) -> DataFrame:
+def with_events(numbered: DataFrame, *more_keys) -> DataFrame:
+    """Session summary with the events at hand of every session as an array."""
+    return (
+        numbered
+        .groupBy("user_uuid", "session_id", *more_keys, "session_start", "session_end",
+                 "session_size")
+        .agg(in_sequence(F.col("session_sequence"), event_item()).alias("events"))
+        .withColumnRenamed("session_size", "event_count")
+    )
+
+
+def session_cards(numbered: DataFrame, items_per_part=ITEMS_PER_PART) -> DataFrame:
     """Session summary with the events as an array. A session of more than
     ``items_per_part`` events continues in part 2, 3, ..."""
-    place = F.col("session_sequence")
-    listed = (
-        number_events(events, gap_minutes)
-        .groupBy("user_uuid", "session_id", part_of(place, items_per_part).alias("part"))
-        .agg(in_sequence(place, event_item()).alias("events"))
-    )
-    summary = with_parts(session_summary(events, gap_minutes), F.col("event_count"),
-                         items_per_part)
-    return summary.join(listed, ["user_uuid", "session_id", "part"])
+    part = part_of(F.col("session_sequence"), items_per_part).alias("part")
+    return with_events(numbered, part).select(
+        "user_uuid", "session_id", "part",
+        *summary_columns(F.col("session_start"), F.col("session_end")), "event_count", "events")
 
 
-def session_preview(events: DataFrame, gap_minutes=SESSION_GAP_MINUTES,
-                    shown=PREVIEW_EVENTS) -> DataFrame:
+def session_preview(numbered: DataFrame, shown=PREVIEW_EVENTS) -> DataFrame:
     """Session summary with the first few events and how many more there are."""
-    place = F.col("session_sequence")
-    first = (
-        number_events(events, gap_minutes).where(place <= shown)
-        .groupBy("user_uuid", "session_id")
-        .agg(in_sequence(place, event_item()).alias("events"))
-    )
-    more = F.greatest(F.col("event_count") - shown, F.lit(0))
-    return session_summary(events, gap_minutes).join(first, ["user_uuid", "session_id"]) \
-        .withColumn("more_events", more)
+    return with_events(numbered.where(F.col("session_sequence") <= shown)).select(
+        "user_uuid", "session_id",
+        *summary_columns(F.col("session_start"), F.col("session_end")), "event_count", "events",
+        F.greatest(F.col("event_count") - shown, F.lit(0)).alias("more_events"))
 
 
-def session_labels(events: DataFrame, gap_minutes=SESSION_GAP_MINUTES,
-                   max_nodes=NODES_PER_SESSION) -> DataFrame:
-    """``Session i: date (HH:MM - HH:MM)`` over the first ``max_nodes`` events."""
+def session_labels(numbered: DataFrame) -> DataFrame:
+    """``Session i: date (HH:MM - HH:MM)`` over the chart nodes of each session."""
     return (
-        number_events(events, gap_minutes, max_nodes)
-        .where(F.col("session_sequence") <= max_nodes)
+        numbered.where(F.col("node_sequence").isNotNull())
         .groupBy("user_uuid", "session_id")
         .agg(F.min("event_local").alias("_first"), F.max("event_local").alias("_last"))
         .select("user_uuid", "session_id",

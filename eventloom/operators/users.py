@@ -46,6 +46,11 @@ def unique_users(events: DataFrame) -> DataFrame:
     return events.select("user_uuid").distinct()
 
 
+def user_list(events: DataFrame) -> DataFrame:
+    """Users in order, for choosing one."""
+    return unique_users(events).orderBy(F.col("user_uuid").asc_nulls_last())
+
+
 def unique_users_count(events: DataFrame) -> DataFrame:
     """One-row report; rows without a user count as one user."""
     return unique_users(events).agg(F.count(F.lit(1)).alias("value")).select(

@@ -54,18 +54,21 @@ def analyse(spark: SparkSession, source: str, target: str, instruction: str,
             category: str = "application", gap_minutes=SESSION_GAP_MINUTES,
             max_nodes=NODES_PER_SESSION) -> None:
     """Tables of the clean job to sessions, journeys, charts, metrics and
-    prompts over the events of one category."""
+    prompts over the events of one category. Numbering the events is done once
+    and stored; the rest reads the stored table."""
     cleaned = readers.read_table(spark, f"{source}/cleaned_events", "clean")
     repetition = readers.read_table(spark, f"{source}/repetition_summary", "clean",
                                     REPETITION_SCHEMA)
     known = readers.read_table(spark, f"{source}/unique_users_list", "clean", USERS_SCHEMA)
     events = users.select_category(cleaned, category)
-    prompts = payloads.prompt_table(payloads.ai_payload(events, repetition, known), instruction)
+    sinks.write_table(sessions.number_events(events, gap_minutes, max_nodes),
+                      f"{target}/numbered_events")
+    numbered = readers.read_table(spark, f"{target}/numbered_events", "same")
+    prompts = payloads.prompt_table(payloads.ai_payload(numbered, repetition, known), instruction)
     for name, table in {
-        "journey_events": journeys.journey_events(events, gap_minutes),
         "session_summary": sessions.session_summary(events, gap_minutes),
-        "transitions": journeys.transitions(events, gap_minutes),
-        "flowcharts": flowcharts.flowchart_text(events, known, max_nodes, gap_minutes),
+        "transitions": journeys.transitions(numbered),
+        "flowcharts": flowcharts.flowcharts(numbered, known),
         "user_metrics": users.user_metrics(events),
         "event_breakdown": users.event_breakdown(events),
         "prompts": prompts,

@@ -110,7 +110,8 @@ def events_out(columns, source):
 
 
 EVENT = "event_pos, user_uuid, event_name, category"
-NUMBERS = "sequence, session_id, session_sequence, node_sequence, session_count"
+NUMBERS = """sequence, session_id, session_sequence, node_sequence, session_count,
+  count(*) over (partition by user_uuid, session_id) as session_size"""
 
 
 def part(place, size):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 from eventloom.functions import texts, times
 from eventloom.operators import (
     audit, cleaning, flowcharts, journeys, ordering, payloads, replies, sessions, users)
+from eventloom.schema import NODES_PER_SESSION, SESSION_GAP_MINUTES
 from eventloom.sources.sinks import with_user_key
 from eventloom.sources.tables import load_events, with_copies
 
@@ -36,6 +37,10 @@ def app(spark, sf_dir) -> DataFrame:
     return users.select_category(load_events(spark, sf_dir))
 
 
+def numbered(events, gap_minutes=SESSION_GAP_MINUTES, max_nodes=NODES_PER_SESSION) -> DataFrame:
+    return sessions.number_events(events, gap_minutes, max_nodes)
+
+
 def without_instants(df: DataFrame) -> DataFrame:
     """Times as text, so that both engines return the same type."""
     return df.withColumn("event_local", times.date_time_text(F.col("event_local"))).drop(
@@ -195,15 +200,19 @@ def most_repeated(spark, sf_dir):
 
 # Sessions
 
+def without_session_times(df):
+    return without_instants(df).drop("session_start", "session_end")
+
+
 @query
 def session_events(spark, sf_dir):
-    return without_instants(sessions.number_events(bursty(spark, sf_dir)))
+    return without_session_times(numbered(bursty(spark, sf_dir)))
 
 
 @query
 def session_events_wide(spark, sf_dir):
-    return without_instants(sessions.number_events(
-        load_events(spark, sf_dir), WIDE_GAP_MINUTES, FEW_NODES))
+    return without_session_times(
+        numbered(load_events(spark, sf_dir), WIDE_GAP_MINUTES, FEW_NODES))
 
 
 @query
@@ -233,61 +242,61 @@ def as_json(df, name):
 
 @query
 def session_cards(spark, sf_dir):
-    return as_json(sessions.session_cards(bursty(spark, sf_dir), items_per_part=2), "events")
+    return as_json(sessions.session_cards(numbered(bursty(spark, sf_dir)), items_per_part=2), "events")
 
 
 @query
 def session_preview(spark, sf_dir):
-    preview = sessions.session_preview(bursty(spark, sf_dir), WIDE_GAP_MINUTES)
+    preview = sessions.session_preview(numbered(bursty(spark, sf_dir), WIDE_GAP_MINUTES))
     return as_json(preview, "events")
 
 
 @query
 def session_labels(spark, sf_dir):
-    return sessions.session_labels(bursty(spark, sf_dir), WIDE_GAP_MINUTES, FEW_NODES)
+    return sessions.session_labels(numbered(bursty(spark, sf_dir), WIDE_GAP_MINUTES, FEW_NODES))
 
 
 # Journeys
 
 @query
 def journey_events(spark, sf_dir):
-    return journeys.journey_events(app(spark, sf_dir))
+    return journeys.journey_events(numbered(app(spark, sf_dir)))
 
 
 @query
 def journey_path(spark, sf_dir):
-    return journeys.journey_path(app(spark, sf_dir))
+    return journeys.journey_path(numbered(app(spark, sf_dir)))
 
 
 @query
 def journey_path_parts(spark, sf_dir):
-    return journeys.journey_path(app(spark, sf_dir), FEW_ITEMS)
+    return journeys.journey_path(numbered(app(spark, sf_dir)), FEW_ITEMS)
 
 
 @query
 def session_path(spark, sf_dir):
-    return journeys.session_path(bursty(spark, sf_dir), 4, WIDE_GAP_MINUTES)
+    return journeys.session_path(numbered(bursty(spark, sf_dir), WIDE_GAP_MINUTES), 4)
 
 
 @query
 def journey_nodes(spark, sf_dir):
-    return journeys.journey_nodes(app(spark, sf_dir), FEW_NODES, WIDE_GAP_MINUTES).drop(
+    return journeys.journey_nodes(numbered(app(spark, sf_dir), WIDE_GAP_MINUTES, FEW_NODES)).drop(
         "event_local")
 
 
 @query
 def journey_edges(spark, sf_dir):
-    return journeys.journey_edges(bursty(spark, sf_dir), FEW_NODES, WIDE_GAP_MINUTES)
+    return journeys.journey_edges(numbered(bursty(spark, sf_dir), WIDE_GAP_MINUTES, FEW_NODES))
 
 
 @query
 def transitions(spark, sf_dir):
-    return journeys.transitions(bursty(spark, sf_dir), WIDE_GAP_MINUTES, items_per_part=2)
+    return journeys.transitions(numbered(bursty(spark, sf_dir), WIDE_GAP_MINUTES), items_per_part=2)
 
 
 @query
 def transition_counts(spark, sf_dir):
-    return journeys.transition_counts(journeys.transitions(load_events(spark, sf_dir)))
+    return journeys.transition_counts(journeys.transitions(numbered(load_events(spark, sf_dir))))
 
 
 @query
@@ -303,7 +312,7 @@ def chart_labels(spark, sf_dir):
 @query
 def journey_record(spark, sf_dir):
     events = load_events(spark, sf_dir)
-    record = journeys.journey_record(users.select_category(events), events, FEW_ITEMS)
+    record = journeys.journey_record(numbered(users.select_category(events)), events, FEW_ITEMS)
     return as_json(as_json(record, "events"), "metadata")
 
 
@@ -317,8 +326,8 @@ def flowchart_text(spark, sf_dir):
 def flowchart_parts(spark, sf_dir):
     events = users.select_event(load_events(spark, sf_dir), "purchase")
     everyone = users.unique_users(load_events(spark, sf_dir))
-    return flowcharts.flowchart_text(events, everyone, FEW_NODES, WIDE_GAP_MINUTES,
-                                     sessions_per_part=FEW_SESSIONS)
+    return flowcharts.flowcharts(numbered(events, WIDE_GAP_MINUTES, FEW_NODES), everyone,
+                                 FEW_SESSIONS)
 
 
 # Payloads
@@ -348,7 +357,7 @@ def prompt_table(spark, sf_dir):
 def made_replies(spark, sf_dir) -> DataFrame:
     """A reply per user and day, made from the sessions of that day, in seven
     forms from well-formed to unusable; some name events that never happened."""
-    cards = sessions.session_cards(load_events(spark, sf_dir))
+    cards = sessions.session_cards(numbered(load_events(spark, sf_dir)))
     number = F.col("session_id")
     names = F.transform("events", lambda event: event["name"])
     names = (F.when(number % 11 == 0, F.slice(names, 1, 0))

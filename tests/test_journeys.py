@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import texts
 from eventloom.operators import audit, flowcharts, journeys, payloads, users
+from eventloom.operators.sessions import number_events
 from tests.support import event
 
 D = "2026-01-05 "
@@ -46,7 +47,7 @@ def test_chart_with_two_sessions(spark):
         '        N3["pay"]', "    end", "",
         "    classDef default fill:#4a5568,stroke:#2d3748,color:#fff"])
     assert flowcharts.flowchart_text(three(spark)).first().flowchart == whole
-    parts = flowcharts.flowchart_text(three(spark), sessions_per_part=1).orderBy("part").collect()
+    parts = flowcharts.flowcharts(number_events(three(spark)), sessions_per_part=1).orderBy("part").collect()
     assert len(parts) == 2
     assert "\n".join(p.flowchart for p in parts) == whole
 
@@ -65,9 +66,9 @@ def test_label_of_a_truncated_session_ends_at_its_last_node(spark):
 
 def test_path_parts_join_to_the_whole(spark):
     df = event(spark, *[("u", f"e{i}", f"{D}10:00:{i:02d}") for i in range(25)])
-    whole = journeys.journey_path(df).first().path
+    whole = journeys.journey_path(number_events(df)).first().path
     assert whole == " -> ".join(f"e{i}" for i in range(25))
-    parts = journeys.journey_path(df, 10).orderBy("part").collect()
+    parts = journeys.journey_path(number_events(df), 10).orderBy("part").collect()
     assert [p.event_count for p in parts] == [10, 10, 5]
     assert " -> ".join(p.path for p in parts) == whole
 
@@ -75,25 +76,26 @@ def test_path_parts_join_to_the_whole(spark):
 def test_transitions_cross_the_parts_of_a_session(spark):
     df = event(spark, *[("u", f"e{i}", f"{D}10:00:{i:02d}") for i in range(9)])
     for size in (1, 2, 3, 4, 100):
-        steps = journeys.transitions(df, items_per_part=size).orderBy("step").collect()
+        steps = journeys.transitions(number_events(df), items_per_part=size).orderBy("step").collect()
         assert [(s.from_event, s.to_event) for s in steps] == [
             (f"e{i}", f"e{i + 1}") for i in range(8)]
 
 
 def test_unnamed_events_have_transitions(spark):
     df = event(spark, ("u", "a", D + "10:00:00"), ("u", None, D + "10:00:01"))
-    step = journeys.transitions(df).first()
+    step = journeys.transitions(number_events(df)).first()
     assert (step.from_event, step.to_event) == ("a", None)
 
 
 def test_record(spark):
     df = three(spark)
-    row = journeys.journey_record(df, users.unique_users(df)).first()
+    numbered = number_events(df)
+    row = journeys.journey_record(numbered, users.unique_users(df)).first()
     assert [e.event_name for e in row.events] == ["open", "find", "pay"]
     assert row.metadata.date_range.first_event == "2026-01-05 10:00:00.000000"
     assert row.metadata.date_range.span_days == 1
     assert row.metadata.event_breakdown == {"open": 1, "find": 1, "pay": 1}
-    empty = journeys.journey_record(df.where("false"), users.unique_users(df)).first()
+    empty = journeys.journey_record(numbered.where("false"), users.unique_users(df)).first()
     assert (empty.total_events, empty.events, empty.metadata) == (0, [], None)
 
 

@@ -50,7 +50,7 @@ def test_nodes_go_on_in_the_next_session(spark):
 
 def test_preview_shows_six(spark):
     df = event(spark, *[("u", f"e{i}", f"{D}10:00:0{i}") for i in range(8)])
-    row = sessions.session_preview(df).first()
+    row = sessions.session_preview(sessions.number_events(df)).first()
     assert [e["name"] for e in row.events] == [f"e{i}" for i in range(6)]
     assert (row.event_count, row.more_events) == (8, 2)
 
