@@ -28,17 +28,26 @@ def session_block():
 def flowchart_text(events: DataFrame, users: DataFrame | None = None,
                    max_nodes=NODES_PER_SESSION, gap_minutes=SESSION_GAP_MINUTES,
                    category: str | None = None) -> DataFrame:
-    """Chart per user from plain events, of one category if given."""
+    """Chart per user from plain events, of one category if given; with users,
+    also for those who have no events."""
     if category is not None:
         events = select_category(events, category)
-    return flowcharts(number_events(events, gap_minutes, max_nodes), users)
+    charts = flowcharts(number_events(events, gap_minutes, max_nodes))
+    return charts if users is None else with_empty_charts(charts, events, users)
 
 
-def flowcharts(numbered: DataFrame, users: DataFrame | None = None,
-               sessions_per_part=SESSIONS_PER_PART) -> DataFrame:
+def with_empty_charts(charts: DataFrame, events: DataFrame, users: DataFrame) -> DataFrame:
+    """Add the placeholder chart of the users without events."""
+    no_events = known_users(users).join(
+        events.select("user_uuid").distinct(), "user_uuid", "left_anti")
+    return charts.unionByName(no_events.select(
+        "user_uuid", F.lit(1).cast("bigint").alias("part"), F.lit(EMPTY_CHART).alias("flowchart")))
+
+
+def flowcharts(numbered: DataFrame, sessions_per_part=SESSIONS_PER_PART) -> DataFrame:
     """Chart per user from numbered events. Charts of more than
     ``sessions_per_part`` sessions come in parts; joined by line breaks they are
-    the whole chart. Users given but without events get the placeholder chart."""
+    the whole chart."""
     blocks = (
         journey_nodes(numbered)
         .withColumn("_lines", session_block())
@@ -54,7 +63,7 @@ def flowcharts(numbered: DataFrame, users: DataFrame | None = None,
     text = F.when(F.col("session_count") > 1,
                   F.concat(opening, lines, F.lit("\n    end"))).otherwise(lines)
     last_part = part_of(F.col("session_count"), sessions_per_part)
-    charts = (
+    return (
         blocks.groupBy("user_uuid", part_of(number, sessions_per_part).alias("part"),
                        last_part.alias("parts"))
         .agg(F.array_join(in_sequence(number, text), "\n").alias("_text"))
@@ -67,9 +76,3 @@ def flowcharts(numbered: DataFrame, users: DataFrame | None = None,
                 .otherwise(F.lit("")),
             ).alias("flowchart"))
     )
-    if users is None:
-        return charts
-    no_events = known_users(users).join(
-        numbered.select("user_uuid").distinct(), "user_uuid", "left_anti")
-    return charts.unionByName(no_events.select(
-        "user_uuid", F.lit(1).cast("bigint").alias("part"), F.lit(EMPTY_CHART).alias("flowchart")))

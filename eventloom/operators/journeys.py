@@ -126,10 +126,11 @@ def counts_as_map(counts: DataFrame, name: str, alias: str) -> DataFrame:
     return counts.groupBy("user_uuid").agg(F.map_from_entries(entries).alias(alias))
 
 
-def journey_record(numbered: DataFrame, users: DataFrame | None = None,
+def journey_record(numbered: DataFrame, events: DataFrame, users: DataFrame | None = None,
                    items_per_part=ITEMS_PER_PART) -> DataFrame:
-    """Nested journey with its metadata, one row per user and part. Users given
-    but without events get an empty record."""
+    """Nested journey with its metadata, one row per user and part. ``events`` are
+    the events that were numbered. Users given but without events get an empty
+    record."""
     flat = journey_events(numbered)
     parts = flat.groupBy("user_uuid", part_of(F.col("sequence"), items_per_part).alias("part")).agg(
         in_sequence(F.col("sequence"), F.struct(
@@ -140,10 +141,10 @@ def journey_record(numbered: DataFrame, users: DataFrame | None = None,
         "event_categories", "event_breakdown",
     )
     per_user = (
-        user_ops.user_metrics(numbered)
-        .join(counts_as_map(user_ops.category_breakdown(numbered), "category",
+        user_ops.user_metrics(events)
+        .join(counts_as_map(user_ops.category_breakdown(events), "category",
                             "event_categories"), "user_uuid", "left")
-        .join(counts_as_map(user_ops.event_breakdown(numbered), "event_name",
+        .join(counts_as_map(user_ops.event_breakdown(events), "event_name",
                             "event_breakdown"), "user_uuid", "left")
         .select("user_uuid", "total_events", "unique_event_types", metadata.alias("metadata"))
     )

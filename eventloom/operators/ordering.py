@@ -30,9 +30,11 @@ def slot_seconds(gap_minutes=None) -> int:
     return max(n for n in range(1, limit + 1) if times.SECONDS_PER_DAY % n == 0)
 
 
-def slot_of(seconds: Column, width: int) -> Column:
-    timeless = F.pmod(F.xxhash64("event_pos"), F.lit(TIMELESS_SLOTS)) + F.lit(TIMELESS_FROM)
-    return F.coalesce(times.floor_to(seconds, width), timeless)
+def slot_of(seconds: Column, width: int, spread: bool = True) -> Column:
+    """Start of the slot. Where slots are only counted, events without a time
+    need not be spread, which saves reading their positions."""
+    place = F.pmod(F.xxhash64("event_pos"), F.lit(TIMELESS_SLOTS)) if spread else F.lit(0)
+    return F.coalesce(times.floor_to(seconds, width), place + F.lit(TIMELESS_FROM))
 
 
 def rank_in_slot(*keys: str, time: str) -> Column:

@@ -40,10 +40,11 @@ def repeated_events(repetition: DataFrame, items_per_part) -> DataFrame:
     )
 
 
-def ai_payload(numbered: DataFrame, repetition: DataFrame, users: DataFrame,
+def ai_payload(numbered: DataFrame, metrics: DataFrame, repetition: DataFrame, users: DataFrame,
                items_per_part=ITEMS_PER_PART) -> DataFrame:
     """Ordered events and repetition summary of every user given. ``numbered`` is
-    the output of ``sessions.number_events``, or any events with ``sequence``.
+    the output of ``sessions.number_events``, ``metrics`` that of
+    ``users.user_metrics`` over the same events.
 
     Long lists continue in further parts, each a payload with the totals of the
     whole user. A user without events gets the empty payload, whatever the
@@ -51,13 +52,12 @@ def ai_payload(numbered: DataFrame, repetition: DataFrame, users: DataFrame,
     """
     listed = ordered_events(numbered, items_per_part)
     repeated = repeated_events(repetition, items_per_part)
-    totals = user_ops.user_metrics(numbered).select(
-        "user_uuid", "total_events", "unique_event_types")
+    totals = metrics.select("user_uuid", "total_events", "unique_event_types")
+    repeats = repetition.groupBy("user_uuid").agg(
+        user_ops.most_repeated_name().alias("most_repeated_event"),
+        F.count(F.lit(1)).alias("_repeated"))
     per_user = (
-        known_users(users).join(totals, "user_uuid", "left")
-        .join(user_ops.most_repeated(repetition).drop("frequency"), "user_uuid", "left")
-        .join(repetition.groupBy("user_uuid").agg(F.count(F.lit(1)).alias("_repeated")),
-              "user_uuid", "left")
+        known_users(users).join(totals, "user_uuid", "left").join(repeats, "user_uuid", "left")
         .fillna(0, ["total_events", "unique_event_types"])
     )
     has_events = F.col("total_events") > 0
@@ -92,9 +92,9 @@ def user_payloads(raw: DataFrame, cleaned: DataFrame, category="application",
     if repetition_scope not in ("all", "category"):
         raise ValueError("repetition_scope is 'all' or 'category'")
     counted = raw if repetition_scope == "all" else user_ops.select_category(raw, category)
-    numbered = number_events(user_ops.select_category(cleaned, category))
-    return ai_payload(numbered, daily_repetition(counted), user_ops.unique_users(cleaned),
-                      items_per_part)
+    events = user_ops.select_category(cleaned, category)
+    return ai_payload(number_events(events), user_ops.user_metrics(events),
+                      daily_repetition(counted), user_ops.unique_users(cleaned), items_per_part)
 
 
 def payload_json(payloads: DataFrame) -> DataFrame:

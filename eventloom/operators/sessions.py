@@ -13,20 +13,20 @@ from eventloom.schema import ITEMS_PER_PART, NODES_PER_SESSION, SESSION_GAP_MINU
 PREVIEW_EVENTS = 6
 
 
-def with_slot(events: DataFrame, gap_minutes) -> DataFrame:
+def with_slot(events: DataFrame, gap_minutes, spread=True) -> DataFrame:
     seconds = times.local_seconds(F.col("event_local"))
     return events.where(F.col("user_uuid").isNotNull()).withColumn(
-        "_slot", slot_of(seconds, slot_seconds(gap_minutes)))
+        "_slot", slot_of(seconds, slot_seconds(gap_minutes), spread))
 
 
 def session_slots(events: DataFrame, gap_minutes=SESSION_GAP_MINUTES,
-                  max_nodes=NODES_PER_SESSION) -> DataFrame:
+                  max_nodes=NODES_PER_SESSION, spread=False) -> DataFrame:
     """One row per (user, slot) with its session and the totals before it.
 
     A slot is too short to hold a session break, so the session of all its
     events follows from the first and last event of each slot.
     """
-    slots = with_slot(events, gap_minutes).groupBy("user_uuid", "_slot").agg(
+    slots = with_slot(events, gap_minutes, spread).groupBy("user_uuid", "_slot").agg(
         F.count(F.lit(1)).alias("_n"),
         F.min("event_local").alias("_first"), F.max("event_local").alias("_last"))
 
@@ -74,7 +74,7 @@ def number_events(events: DataFrame, gap_minutes=SESSION_GAP_MINUTES,
     ``session_size``      events of the session
     ``session_start``, ``session_end``  first and last time of the session
     """
-    slots = session_slots(events, gap_minutes, max_nodes).drop("_n", "_first", "_last")
+    slots = session_slots(events, gap_minutes, max_nodes, spread=True).drop("_n", "_first", "_last")
     rank = F.col("_rank")
     place = F.col("_rank_before") + rank
     return (

@@ -106,10 +106,12 @@ def category_breakdown(events: DataFrame) -> DataFrame:
     )
 
 
+def most_repeated_name():
+    """Aggregate over repetition rows: the name with the highest frequency on a
+    single day; ties go to the first name, then the first date."""
+    return F.min_by("event_name", F.struct(-F.col("frequency"), "event_name", "event_date"))
+
+
 def most_repeated(repetition: DataFrame) -> DataFrame:
-    """Name of the event-day row with the highest frequency per user; ties go to
-    the first name, then the first date."""
-    order = F.struct(-F.col("frequency"), F.col("event_name"), F.col("event_date"))
     return repetition.groupBy("user_uuid").agg(
-        F.min_by("event_name", order).alias("most_repeated_event"),
-        F.max("frequency").alias("frequency"))
+        most_repeated_name().alias("most_repeated_event"), F.max("frequency").alias("frequency"))

@@ -64,16 +64,18 @@ def analyse(spark: SparkSession, source: str, target: str, instruction: str,
     sinks.write_table(sessions.number_events(events, gap_minutes, max_nodes),
                       f"{target}/numbered_events")
     numbered = readers.read_table(spark, f"{target}/numbered_events", "same")
-    prompts = payloads.prompt_table(payloads.ai_payload(numbered, repetition, known), instruction)
+    charts = flowcharts.with_empty_charts(flowcharts.flowcharts(numbered), events, known)
     for name, table in {
         "session_summary": sessions.session_summary(events, gap_minutes),
         "transitions": journeys.transitions(numbered),
-        "flowcharts": flowcharts.flowcharts(numbered, known),
+        "flowcharts": charts,
         "user_metrics": users.user_metrics(events),
         "event_breakdown": users.event_breakdown(events),
-        "prompts": prompts,
     }.items():
         sinks.write_table(table, f"{target}/{name}")
+    metrics = readers.read_table(spark, f"{target}/user_metrics", "same")
+    payload = payloads.ai_payload(numbered, metrics, repetition, known)
+    sinks.write_table(payloads.prompt_table(payload, instruction), f"{target}/prompts")
 
 
 def register_views(spark: SparkSession, source: str) -> None:

@@ -121,14 +121,17 @@ def burst_audit_wide(spark, sf_dir):
 
 # Users
 
+# Burst removal keeps the first event of every user, so the users of the raw
+# events are those of the cleaned ones.
+
 @query
 def unique_users(spark, sf_dir):
-    return users.unique_users(cleaned(spark, sf_dir))
+    return users.unique_users(bursty(spark, sf_dir))
 
 
 @query
 def unique_users_count(spark, sf_dir):
-    return users.unique_users_count(cleaned(spark, sf_dir))
+    return users.unique_users_count(bursty(spark, sf_dir))
 
 
 @query
@@ -312,7 +315,8 @@ def chart_labels(spark, sf_dir):
 @query
 def journey_record(spark, sf_dir):
     events = load_events(spark, sf_dir)
-    record = journeys.journey_record(numbered(users.select_category(events)), events, FEW_ITEMS)
+    chosen = users.select_category(events)
+    record = journeys.journey_record(numbered(chosen), chosen, events, FEW_ITEMS)
     return as_json(as_json(record, "events"), "metadata")
 
 
@@ -326,8 +330,8 @@ def flowchart_text(spark, sf_dir):
 def flowchart_parts(spark, sf_dir):
     events = users.select_event(load_events(spark, sf_dir), "purchase")
     everyone = users.unique_users(load_events(spark, sf_dir))
-    return flowcharts.flowcharts(numbered(events, WIDE_GAP_MINUTES, FEW_NODES), everyone,
-                                 FEW_SESSIONS)
+    charts = flowcharts.flowcharts(numbered(events, WIDE_GAP_MINUTES, FEW_NODES), FEW_SESSIONS)
+    return flowcharts.with_empty_charts(charts, events, everyone)
 
 
 # Payloads

@@ -90,12 +90,13 @@ def test_unnamed_events_have_transitions(spark):
 def test_record(spark):
     df = three(spark)
     numbered = number_events(df)
-    row = journeys.journey_record(numbered, users.unique_users(df)).first()
+    row = journeys.journey_record(numbered, df, users.unique_users(df)).first()
     assert [e.event_name for e in row.events] == ["open", "find", "pay"]
     assert row.metadata.date_range.first_event == "2026-01-05 10:00:00.000000"
     assert row.metadata.date_range.span_days == 1
     assert row.metadata.event_breakdown == {"open": 1, "find": 1, "pay": 1}
-    empty = journeys.journey_record(numbered.where("false"), users.unique_users(df)).first()
+    empty = journeys.journey_record(
+        numbered.where("false"), df.where("false"), users.unique_users(df)).first()
     assert (empty.total_events, empty.events, empty.metadata) == (0, [], None)
 
 

@@ -46,7 +46,7 @@ def test_summary_reads_only_what_it_needs(spark, tmp_path):
     text = plan(sessions.session_summary(stored(spark, tmp_path)))
     schema = re.search(r"ReadSchema: struct<([^>]*)>", text).group(1)
     assert {c.split(":")[0] for c in schema.split(",")} == {
-        "user_uuid", "event_local", "event_pos"}
+        "user_uuid", "event_local"}
 
 
 def test_event_filter_stays_above_sessions(spark, tmp_path):
