@@ -13,6 +13,8 @@ def main():
     parser.add_argument("target")
     parser.add_argument("--format", default="parquet", choices=["parquet", "csv"])
     parser.add_argument("--buckets", type=int, help="hash users into this many folders")
+    parser.add_argument("--threshold-ms", type=float,
+                        help="longest gap inside a burst (clean, timeline)")
     parser.add_argument("--instruction", default="Describe what this user did.",
                         help="text put before every payload (analyse)")
     args = parser.parse_args()
@@ -21,7 +23,8 @@ def main():
         jobs.analyse(spark, args.source, args.target, args.instruction)
     else:
         job = jobs.clean if args.job == "clean" else jobs.timeline
-        job(spark, args.source, args.target, fmt=args.format, buckets=args.buckets)
+        chosen = {} if args.threshold_ms is None else {"threshold_ms": args.threshold_ms}
+        job(spark, args.source, args.target, fmt=args.format, buckets=args.buckets, **chosen)
 
 
 if __name__ == "__main__":

@@ -10,6 +10,7 @@ from eventloom.operators.parts import in_sequence, part_of, with_parts
 from eventloom.operators.sessions import number_events
 from eventloom.schema import ITEMS_PER_PART
 
+# Fixed value: stands between the instruction and the payload.
 DATA_HEADING = "\n\nUSER EVENT DATA:\n"
 
 

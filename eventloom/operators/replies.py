@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 from eventloom.schema import REPLY_SCHEMA
 
 KEYS = ["user_uuid", "part"]
+
+# What a reply must hold, the most it may hold, and how many events
+# a preview shows.
 REQUIRED_FIELD = "interpreted_sessions"
 FENCE = "```"
 MAX_SESSIONS = 10

@@ -10,6 +10,7 @@ from eventloom.operators.ordering import rank_in_slot, slot_of, slot_seconds
 from eventloom.operators.parts import in_sequence, part_of
 from eventloom.schema import ITEMS_PER_PART, NODES_PER_SESSION, SESSION_GAP_MINUTES
 
+# Fixed value: events shown in a preview.
 PREVIEW_EVENTS = 6
 
 

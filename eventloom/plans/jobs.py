@@ -8,6 +8,7 @@ from eventloom.operators import (
     audit, cleaning, flowcharts, journeys, payloads, sessions, users)
 from eventloom.schema import (
     BURST_MS, NODES_PER_SESSION, REPETITION_SCHEMA, SESSION_GAP_MINUTES, USERS_SCHEMA)
+from eventloom.session import fit_shuffles
 from eventloom.sources import readers, sinks
 
 
@@ -16,6 +17,7 @@ def clean(spark: SparkSession, source: str, target: str, threshold_ms=BURST_MS,
     """Raw CSV to cleaned events, repetition summary, user list and count, and
     one folder per user (or per user bucket)."""
     raw = readers.read_raw_events(spark, source)
+    fit_shuffles(raw)
     order = sinks.name_order() if fmt == "csv" else None
     sinks.write_events(cleaning.cleaned_events(raw, threshold_ms), f"{target}/cleaned_events",
                        order, fmt)
@@ -28,6 +30,7 @@ def timeline(spark: SparkSession, source: str, target: str, threshold_ms=None,
              fmt: str = "parquet", buckets: int | None = None, per_user: bool = True) -> None:
     """Cleaned events to a table in time order, with the same reports over it."""
     cleaned = read_events(spark, f"{source}/cleaned_events", fmt, "clean")
+    fit_shuffles(cleaned)
     kept = cleaned if threshold_ms is None else cleaning.remove_bursts(cleaned, threshold_ms)
     sinks.write_events(kept, f"{target}/cleaned_events_chronological", sinks.time_order(), fmt)
     sinks.write_table(audit.daily_repetition(cleaned), f"{target}/repetition_summary", fmt)
@@ -60,6 +63,7 @@ def analyse(spark: SparkSession, source: str, target: str, instruction: str,
     repetition = readers.read_table(spark, f"{source}/repetition_summary", "clean",
                                     REPETITION_SCHEMA)
     known = readers.read_table(spark, f"{source}/unique_users_list", "clean", USERS_SCHEMA)
+    fit_shuffles(cleaned)
     events = users.select_category(cleaned, category)
     sinks.write_table(sessions.number_events(events, gap_minutes, max_nodes),
                       f"{target}/numbered_events")

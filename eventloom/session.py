@@ -1,6 +1,8 @@
 """Spark session with the settings the jobs are written for."""
 
-from pyspark.sql import SparkSession
+import math
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     # Labels come from event_local and do not depend on the zone; pinning it
@@ -22,3 +24,22 @@ def get_session(app_name="eventloom", **overrides):
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+# Input bytes per shuffle partition, and the number of partitions beyond which
+# tracking them costs more than larger partitions, which spill, do.
+BYTES_PER_PARTITION = 128 << 20
+MOST_PARTITIONS = 40_000
+
+
+def fit_shuffles(source: DataFrame) -> int:
+    """Raise ``spark.sql.shuffle.partitions`` to suit the size Spark
+    estimates for a source table.
+    Adaptive execution merges partitions that turn out small, but never splits
+    those of an aggregation or window."""
+    spark = source.sparkSession
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wanted = min(MOST_PARTITIONS, math.ceil(size / BYTES_PER_PARTITION))
+    count = max(wanted, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spark.conf.set("spark.sql.shuffle.partitions", count)
+    return count

@@ -77,8 +77,11 @@ def parse_raw_lenient(events: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def parse_iso(events: DataFrame) -> DataFrame:
-    """Rows whose time is ISO 8601 with an offset, with or without fraction."""
-    return with_times(events, or_fail(F.trim("event_time").try_cast("timestamp")))
+    """Rows whose time is ISO 8601, with or without fraction; without an offset
+    it counts as offset zero."""
+    text = F.trim("event_time")
+    zoned = F.when(text.rlike(OFFSET_PATTERN), text).otherwise(F.concat(text, F.lit("Z")))
+    return with_times(events, or_fail(zoned.try_cast("timestamp")))
 
 
 def read_raw_events(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:

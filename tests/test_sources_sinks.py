@@ -56,6 +56,18 @@ def test_missing_time_is_no_error(spark, tmp_path):
     assert (row.event_time, row.event_local, row.event_offset) == (None, None, None)
 
 
+def test_stored_times(spark, tmp_path):
+    values = ["2026-01-05 10:00:00+05:30", "2026-01-05T10:00:00.25+0530", "2026-01-05 04:30:00Z",
+              "2026-01-05 04:30:00.5"]
+    (tmp_path / "a.csv").write_text(HEADER + "".join(f"system,{v},e,u,x\n" for v in values))
+    rows = readers.parse_iso(readers.read_csv(spark, str(tmp_path))).orderBy("event_pos").select(
+        F.unix_micros("event_time") - 1767587400000000, F.col("event_local").cast("string"),
+        "event_offset").collect()
+    assert [tuple(r) for r in rows] == [
+        (0, "2026-01-05 10:00:00", "+05:30"), (250_000, "2026-01-05 10:00:00.25", "+05:30"),
+        (0, "2026-01-05 04:30:00", "+00:00"), (500_000, "2026-01-05 04:30:00.5", "+00:00")]
+
+
 def test_missing_column(spark, tmp_path):
     (tmp_path / "a.csv").write_text("user_uuid,event_name\nu,e\n")
     with pytest.raises(ValueError, match="category, event_time"):
@@ -136,3 +148,32 @@ def test_a_heavy_user_is_written_by_many_tasks(spark, tmp_path):
     assert all(a[1] < b[0] for a, b in zip(edges, edges[1:]))
     assert spark.read.parquet(path).count() == 40_000
     assert os.path.isdir(f"{path}/user_key=u0")
+
+
+def test_shuffles_grow_with_the_source(spark, monkeypatch):
+    from eventloom import session
+    from tests.support import TESTDATA
+
+    table = spark.read.parquet(f"{TESTDATA}/sf0.01/events.parquet")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        assert session.fit_shuffles(table) == int(before)
+        monkeypatch.setattr(session, "BYTES_PER_PARTITION", 10_000)
+        assert session.fit_shuffles(table) > int(before)
+        monkeypatch.setattr(session, "MOST_PARTITIONS", 12)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        assert session.fit_shuffles(table) == 12
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_command_line(spark, raw_csv, tmp_path, monkeypatch):
+    import sys
+
+    from eventloom import __main__ as command
+
+    target = str(tmp_path / "out")
+    monkeypatch.setattr(sys, "argv", ["eventloom", "clean", raw_csv, target, "--buckets", "2",
+                                      "--threshold-ms", "0"])
+    command.main()
+    assert spark.read.parquet(f"{target}/cleaned_events").count() == 6
