@@ -5,8 +5,14 @@ before a slot is found by running totals over one small row per (user, slot),
 which a map-side aggregation produces, and joined back. A user with a large
 share of all rows thus spreads over as many groups as there are slots. After
 burst removal, a slot holds at most 20 events a second of each event name.
+
+Events that were not cleaned, or have no name, may crowd one slot without such a
+bound. ``with_pieces`` then cuts the slots further, at the cost of storing the
+events once.
 """
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from eventloom.functions import times
@@ -38,6 +44,52 @@ def slot_of(seconds: Column, width: int, spread: bool = True) -> Column:
     return F.coalesce(times.floor_to(seconds, width), place + F.lit(TIMELESS_FROM))
 
 
+PIECE = "event_piece"
+
+# Rows of one (user, slot) that a task can still sort with ease.
+ROWS_PER_SLOT = 5_000_000
+
+
+def total_order(time: str):
+    """User, time, name and source position; rows without one of them last."""
+    return [F.col(name).asc_nulls_last()
+            for name in ("user_uuid", time, "event_name", "event_pos")]
+
+
+def with_pieces(events: DataFrame, time: str = "event_local",
+                pieces: int | None = None) -> DataFrame:
+    """Note in ``event_piece`` the range partition a row falls in. Ranges follow
+    the full order, so even copies of one event are spread evenly; a slot that
+    reaches over several pieces is numbered piece by piece.
+
+    The ranges come from a sample, so the result is checkpointed: all later
+    reads see the same pieces.
+    """
+    count = pieces or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = events.repartitionByRange(count, *total_order(time))
+    return stored(ranged.withColumn(PIECE, F.spark_partition_id()))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Checkpoint in the folder the session names; a local one only without it."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="eventloom-"))
+    return df.checkpoint()
+
+
+def slot_keys(events: DataFrame) -> list[str]:
+    return ["_slot", PIECE] if PIECE in events.columns else ["_slot"]
+
+
+def is_crowded(slotted: DataFrame, limit: int = ROWS_PER_SLOT) -> bool:
+    """Whether any (user, slot) holds more rows than one task should sort. The
+    rows are counted on the map side; one number comes back."""
+    counts = slotted.groupBy("user_uuid", "_slot").agg(F.count(F.lit(1)).alias("_n"))
+    return (counts.agg(F.max("_n")).first()[0] or 0) > limit
+
+
 def rank_in_slot(*keys: str, time: str) -> Column:
     """1, 2, ... by time, name and source position within the keys."""
     return F.row_number().over(W.partitionBy(*keys).orderBy(
@@ -57,13 +109,15 @@ def timeline(events: DataFrame, threshold_ms=None) -> DataFrame:
     key = F.coalesce(F.concat(F.lit("="), "user_uuid"), F.lit(""))
     slotted = events.withColumns({
         "_key": key, "_slot": slot_of(F.unix_seconds("event_time"), SLOT_SECONDS)})
-    earlier = W.partitionBy("_key").orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
+    slot = slot_keys(events)
+    earlier = W.partitionBy("_key").orderBy(*slot).rowsBetween(W.unboundedPreceding, -1)
     before = (
-        slotted.groupBy("_key", "_slot").agg(F.count(F.lit(1)).alias("_n"))
-        .select("_key", "_slot", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+        slotted.groupBy("_key", *slot).agg(F.count(F.lit(1)).alias("_n"))
+        .select("_key", *slot, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     )
     return (
-        slotted.withColumn("_rank", rank_in_slot("_key", "_slot", time="event_time"))
-        .join(before, ["_key", "_slot"])
-        .select(*events.columns, (F.col("_before") + F.col("_rank")).alias("sequence"))
+        slotted.withColumn("_rank", rank_in_slot("_key", *slot, time="event_time"))
+        .join(before, ["_key", *slot])
+        .select(*[c for c in events.columns if c != PIECE],
+                (F.col("_before") + F.col("_rank")).alias("sequence"))
     )

@@ -5,7 +5,7 @@ fails if a table is already there."""
 from pyspark.sql import SparkSession
 
 from eventloom.operators import (
-    audit, cleaning, flowcharts, journeys, payloads, sessions, users)
+    audit, cleaning, flowcharts, journeys, ordering, payloads, sessions, users)
 from eventloom.schema import (
     BURST_MS, NODES_PER_SESSION, REPETITION_SCHEMA, SESSION_GAP_MINUTES, USERS_SCHEMA)
 from eventloom.session import fit_shuffles
@@ -58,14 +58,17 @@ def analyse(spark: SparkSession, source: str, target: str, instruction: str,
             max_nodes=NODES_PER_SESSION) -> None:
     """Tables of the clean job to sessions, journeys, charts, metrics and
     prompts over the events of one category. Numbering the events is done once
-    and stored; the rest reads the stored table."""
+    and stored; the rest reads the stored table. Should a slot hold too many rows
+    for one task, the events are cut into pieces first."""
     cleaned = readers.read_table(spark, f"{source}/cleaned_events", "clean")
     repetition = readers.read_table(spark, f"{source}/repetition_summary", "clean",
                                     REPETITION_SCHEMA)
     known = readers.read_table(spark, f"{source}/unique_users_list", "clean", USERS_SCHEMA)
     fit_shuffles(cleaned)
     events = users.select_category(cleaned, category)
-    sinks.write_table(sessions.number_events(events, gap_minutes, max_nodes),
+    crowded = ordering.is_crowded(sessions.with_slot(events, gap_minutes))
+    ranged = ordering.with_pieces(events) if crowded else events
+    sinks.write_table(sessions.number_events(ranged, gap_minutes, max_nodes),
                       f"{target}/numbered_events")
     numbered = readers.read_table(spark, f"{target}/numbered_events", "same")
     charts = flowcharts.with_empty_charts(flowcharts.flowcharts(numbered), events, known)

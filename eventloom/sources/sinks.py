@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from eventloom.functions import texts
+from eventloom.operators.ordering import total_order
 from eventloom.schema import CLEANED_COLUMNS
 
 HELPERS = ["event_local", "event_offset", "event_pos"]
@@ -30,9 +31,8 @@ def ordered(df: DataFrame, *order, partitions: int | None = None) -> DataFrame:
     return df.repartitionByRange(*ranges).sortWithinPartitions(*order)
 
 
-def time_order(time: str = "event_time"):
-    return (F.col("user_uuid").asc_nulls_last(), F.col(time).asc_nulls_last(),
-            F.col("event_name").asc_nulls_last(), F.col("event_pos").asc_nulls_last())
+def time_order():
+    return total_order("event_time")
 
 
 def name_order():
