@@ -11,8 +11,9 @@ from eventloom.session import get_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = get_session(
-        "eventloom-tests", spark__master="local[8]", spark__sql__shuffle__partitions="8",
-        spark__ui__enabled="false", spark__driver__memory="8g")
+        "eventloom-tests", spark__master="local[8]", spark__sql__shuffle__partitions="4",
+        spark__ui__enabled="false", spark__driver__memory="8g",
+        spark__python__sql__dataFrameDebugging__enabled="false")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
