@@ -265,7 +265,8 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
     ``length`` bytes that starts at two places of the texts (tid, text). A tid stands for one text;
     ``texts`` should be a stored table, as it is read several times."""
     found = _all_anchors(texts, length, gram)
-    often = found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
+    # Stored, so that the join meets a plain table, whose frequent grams Spark can split.
+    often = stored(found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "suffix-grams")
     dup = found.join(often, "gram").select("tid", "place", (F.col("n") > group_rows).alias("frequent"))
     # Lists are bounded by their text.
     lists = stored(dup.groupBy("tid").agg(
