@@ -228,6 +228,8 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", width: in
 
     keys = filing_keys(classes)
     files = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("leader")).filter("n > 1")
+    # Aggregates are stored before they are joined back: Spark can then split frequent keys.
+    files = stored(files, "neardup-keys")
     files = stored(keys.join(files, "key"), "neardup-files")
 
     stars = files.filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
@@ -244,6 +246,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", width: in
         "component", F.coalesce("component", "node"))
     mixed = several.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter(
         "low != high").select("key")
+    mixed = stored(mixed, "neardup-keys")
     across = several.join(mixed, "key").join(classes.select("node", "signature"), "node")
     more = confirmed(_likely(_across(across, block_rows), classes), texts, width)
     more = stored(more, "neardup-links")
@@ -251,7 +254,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", width: in
 
     member = nodes.join(linked, "node", "left").select(
         "digest", "least_id", F.coalesce("component", "node").alias("component"))
-    least = member.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    least = stored(member.groupBy("component").agg(F.min("least_id").alias("component_id")), "neardup-least")
     named = member.join(least, "component").select("digest", "component", F.col("component_id").alias("_id"))
     joined = known.select("doc_id", "row_key", "n_shingles", "digest").join(named, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("_id"))

@@ -12,6 +12,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from eventloom.llm.storage import stored
+
 LINE, PARAGRAPH = "\n", "\n\n"
 #: Upper case that normalising lowers, and the white space it folds: ASCII only.
 _LOWER = {code: code + 32 for code in range(65, 91)}
@@ -70,7 +72,8 @@ def repeated_units(docs: DataFrame, id_col="doc_id", text_col="text", separator=
     ordered by a hash of their text, and rows that repeat in id and text count as one document."""
     found = _units(_keyed(docs, id_col, text_col), separator)
     earliest = found.groupBy("digest").agg(F.min(_rank()).alias("earliest"), F.count("*").alias("n"))
-    earliest = earliest.filter("n > 1").select("digest", "earliest")
+    # Stored, so that the join meets a plain table, whose frequent digests Spark can split.
+    earliest = stored(earliest.filter("n > 1").select("digest", "earliest"), "line-earliest")
     return found.join(earliest, "digest").filter(
         ~_rank().eqNullSafe(F.col("earliest"))).select("row_key", "doc_id", "unit", "start", "stop", "digest")
 

@@ -144,6 +144,8 @@ def planned_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     held = held.withColumn("sha", F.sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html"))
     first = held.filter(F.col("size") >= least_bytes).groupBy("sha").agg(
         F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("sha", "first")
+    # Stored, so that the join meets a plain table, whose frequent digests Spark can split.
+    first = stored(first, "bundle-firsts")
     joined = held.join(first, "sha", "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select(
