@@ -8,8 +8,9 @@ error (two in each would make 32), so it agrees on 3 of its 4 symbols. Each docu
 therefore filed under 4 keys per chunk, the chunk with one symbol left out.
 
 Links are confirmed on the full shingle sets. Equal sets are one class from the start. Files
-are compared with their smallest member first; then only members that are not yet in one
-component are, so a large group of copies costs one comparison a member.
+are compared with their smallest member first, large ones then with their likely origin; last,
+only members that are not yet in one component are, so a large group of copies costs a few
+comparisons a member.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 75
 #: Members of a file that one task compares at once with as many others.
 BLOCK_ROWS = 512
+#: Members from which on a group looks for its likely origin first.
+AROUND_ROWS = 12
 
 _TURNS = (mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 _FACTORS = (mix(np.arange(101, SYMBOLS + 101, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -80,7 +83,7 @@ def _symbols(column: pa.Array) -> np.ndarray:
 
 
 def filing_keys(classes: DataFrame) -> DataFrame:
-    """(key, node): a class under all its keys."""
+    """(key, slot, node): a class under all its keys; a slot is a chunk and the symbol left out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 2048):
@@ -93,12 +96,13 @@ def filing_keys(classes: DataFrame) -> DataFrame:
                         if k != left_out:
                             total = mix((total << np.uint64(16)) + symbols[:, :, k] + np.uint64(1))
                     keys.append(total)
-                keys = np.concatenate(keys, axis=1)
+                keys = np.stack(keys, axis=2).reshape(part.num_rows, SYMBOLS)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys.ravel().view(np.int64)),
-                     pa.array(np.repeat(part.column(0).to_numpy(), keys.shape[1]))], names=["key", "node"])
+                     pa.array(np.tile(np.arange(SYMBOLS, dtype=np.int8), part.num_rows)),
+                     pa.array(np.repeat(part.column(0).to_numpy(), SYMBOLS))], names=["key", "slot", "node"])
 
-    return classes.select("node", "signature").mapInArrow(run, "key long, node long")
+    return classes.select("node", "signature").mapInArrow(run, "key long, slot byte, node long")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -146,17 +150,35 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int = SHINGLE_WORDS,
     return sides.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _across(files: DataFrame, block_rows: int) -> DataFrame:
+def _most_frequent(values: np.ndarray) -> int:
+    found, times = np.unique(values, return_counts=True)
+    return int(found[times.argmax()])
+
+
+def _shared_before(symbols: np.ndarray, other: np.ndarray, slot: int) -> np.ndarray:
+    """Whether rows of symbols share a key of an earlier slot with another."""
+    same = (symbols == other).reshape(len(symbols), CHUNKS, CHUNK)
+    chunk, left_out = divmod(slot, CHUNK)
+    enough = same.sum(2) >= CHUNK - 1
+    before = enough[:, :chunk].any(1)
+    for k in range(left_out):
+        before |= np.delete(same[:, chunk], k, axis=1).all(1)
+    return before
+
+
+def _across(files: DataFrame, block_rows: int, around: bool) -> DataFrame:
     """(a, b): pairs within a file, of different components, whose signatures are close enough.
 
-    Rows: (key, n, leader, node, component, signature). A file is cut into blocks of bounded size
-    and each pair of blocks is compared by itself, so a large file is many tasks' work. Pairs
-    with the file's leader were compared before."""
+    Rows: (key, slot, n, leader, node, component, signature). A file is cut into blocks of bounded
+    size and each pair of blocks is compared by itself, so a large file is many tasks' work. Pairs
+    with the file's leader were compared before. With ``around``, the large groups alone, and in
+    them only pairs with the member nearest to the most frequent symbols, the likely origin
+    of the others; without, all pairs, each in the first file that holds it."""
     blocks = F.ceil(F.col("n") / F.lit(block_rows)).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     placed = files.withColumn("blocks", blocks).withColumn("own", own).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+    placed = placed.select("key", "slot", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
                            "own", "leader", "node", "component", "signature")
 
     def compare(group: pa.Table) -> pa.RecordBatch | None:
@@ -167,7 +189,18 @@ def _across(files: DataFrame, block_rows: int) -> DataFrame:
         side = group["own"].to_numpy()
         free = node != group["leader"].to_numpy()
         cross = group["low"][0].as_py() != group["high"][0].as_py()
+        slot = group["slot"][0].as_py()
         a, b = [], []
+        if around:
+            if len(node) < AROUND_ROWS:
+                return None
+            usual = np.array([_most_frequent(column) for column in symbols.T])
+            origin = int((symbols != usual).sum(1).argmin())
+            near = np.flatnonzero((component != component[origin])
+                                  & ((symbols != symbols[origin]).sum(1) <= MOST_ERRORS))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.minimum(node[near], node[origin])), pa.array(np.maximum(node[near], node[origin]))],
+                names=["a", "b"])
         for k in np.flatnonzero(free):
             ahead = free & (component != component[k]) & (node > node[k])
             if cross:
@@ -175,6 +208,7 @@ def _across(files: DataFrame, block_rows: int) -> DataFrame:
             ahead = np.flatnonzero(ahead)
             if len(ahead):
                 near = ahead[(symbols[ahead] != symbols[k]).sum(1) <= MOST_ERRORS]
+                near = near[~_shared_before(symbols[near], symbols[k], slot)]
                 a.extend([int(node[k])] * len(near))
                 b.extend(node[near].tolist())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -241,16 +275,17 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", width: in
     texts = stored(texts, "neardup-texts")
 
     links = stored(confirmed(stars, texts, width), "neardup-links")
-    linked = components(links, "neardup-components")
-    several = files.filter("n > 2").join(linked, "node", "left").withColumn(
-        "component", F.coalesce("component", "node"))
-    mixed = several.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter(
-        "low != high").select("key")
-    mixed = stored(mixed, "neardup-keys")
-    across = several.join(mixed, "key").join(classes.select("node", "signature"), "node")
-    more = confirmed(_likely(_across(across, block_rows), classes), texts, width)
-    more = stored(more, "neardup-links")
-    linked = stored(components(links.unionByName(more), "neardup-components"), "neardup-components")
+    several = files.filter("n > 2")
+    for around in (True, False):
+        linked = components(links, "neardup-components")
+        placed = several.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter(
+            "low != high").select("key")
+        mixed = stored(mixed, "neardup-keys")
+        across = placed.join(mixed, "key").join(classes.select("node", "signature"), "node")
+        more = confirmed(_likely(_across(across, block_rows, around), classes), texts, width)
+        links = stored(links.unionByName(more), "neardup-links")
+    linked = stored(components(links, "neardup-components"), "neardup-components")
 
     member = nodes.join(linked, "node", "left").select(
         "digest", "least_id", F.coalesce("component", "node").alias("component"))

@@ -56,7 +56,8 @@ def test_every_signature_within_the_threshold_shares_a_key(spark):
         other = row.copy()
         other[draw.choice(64, 31, replace=False)] ^= 1
         frame += [(2 * k, bytearray(row.tobytes())), (2 * k + 1, bytearray(other.tobytes()))]
-    keys = hamming_dedup.filing_keys(spark.createDataFrame(frame, "node long, signature binary")).collect()
+    keys = hamming_dedup.filing_keys(
+        spark.createDataFrame(frame, "node long, signature binary")).collect()
     by_node = {}
     for r in keys:
         by_node.setdefault(r.node, set()).add(r.key)
