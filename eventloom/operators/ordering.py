@@ -1,30 +1,25 @@
 """Numbering the events of each user without one task per user.
 
-Time is cut into short slots. Events are ordered within (user, slot); what came
-before a slot is found by running totals over one small row per (user, slot),
-which a map-side aggregation produces, and joined back. A user with a large
-share of all rows thus spreads over as many groups as there are slots. After
-burst removal, a slot holds at most 20 events a second of each event name.
-
-Events that were not cleaned, or have no name, may crowd one slot without such a
-bound. ``with_pieces`` then cuts the slots further, at the cost of storing the
-events once.
+Time is cut into short slots, slots into seconds, seconds into cells: one instant, one name and
+a block of source positions. Rows are counted per cell on the map side; running totals
+then go level by level over the counts, so that no window spans more than one level of one
+user, and single rows are ordered only within a cell. Neither a heavy user nor a crowd of
+copies in one instant is a single task's work, and the same steps serve every size.
 """
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from eventloom.functions import times
 from eventloom.operators.cleaning import remove_bursts
 
 SLOT_SECONDS = 600
 
-# Events without a time come last. They are spread over this many slots, and
-# within each ordered like the rest.
-TIMELESS_SLOTS = 1024
+# The slot of events without a time, which come last.
 TIMELESS_FROM = 1 << 60
 
+# Source positions fall into blocks of at most so many rows, in order.
+BLOCK_BITS = 16
+
 
 def slot_seconds(gap_minutes=None) -> int:
     """Widest slot that divides a day and is not longer than the session gap, so
@@ -37,63 +32,53 @@ def slot_seconds(gap_minutes=None) -> int:
     return max(n for n in range(1, limit + 1) if times.SECONDS_PER_DAY % n == 0)
 
 
-def slot_of(seconds: Column, width: int, spread: bool = True) -> Column:
-    """Start of the slot. Where slots are only counted, events without a time
-    need not be spread, which saves reading their positions."""
-    place = F.pmod(F.xxhash64("event_pos"), F.lit(TIMELESS_SLOTS)) if spread else F.lit(0)
-    return F.coalesce(times.floor_to(seconds, width), place + F.lit(TIMELESS_FROM))
-
-
-PIECE = "event_piece"
+def slot_of(seconds: Column, width: int) -> Column:
+    """Start of the slot."""
+    return F.coalesce(times.floor_to(seconds, width), F.lit(TIMELESS_FROM))
 
-# Rows of one (user, slot) that a task can still sort with ease.
-ROWS_PER_SLOT = 5_000_000
 
+def position_block(events: DataFrame) -> Column:
+    """Order-keeping prefix of the source position. Positions of another kind than
+    whole numbers, or structs that end in one, are one block."""
+    kind = events.schema["event_pos"].dataType
+    if isinstance(kind, T.IntegralType):
+        return F.shiftright(F.col("event_pos").cast("long"), BLOCK_BITS)
+    if isinstance(kind, T.StructType) and isinstance(kind.fields[-1].dataType, T.IntegralType):
+        *front, last = (F.col("event_pos")[name] for name in kind.names)
+        return F.struct(*front, F.shiftright(last.cast("long"), BLOCK_BITS).alias("block"))
+    return F.lit(0)
 
-def total_order(time: str):
-    """User, time, name and source position; rows without one of them last."""
-    return [F.col(name).asc_nulls_last()
-            for name in ("user_uuid", time, "event_name", "event_pos")]
 
-
-def with_pieces(events: DataFrame, time: str = "event_local",
-                pieces: int | None = None) -> DataFrame:
-    """Note in ``event_piece`` the range partition a row falls in. Ranges follow
-    the full order, so even copies of one event are spread evenly; a slot that
-    reaches over several pieces is numbered piece by piece.
-
-    The ranges come from a sample, so the result is checkpointed: all later
-    reads see the same pieces.
-    """
-    count = pieces or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = events.repartitionByRange(count, *total_order(time))
-    return stored(ranged.withColumn(PIECE, F.spark_partition_id()))
+CELL = ["_second", "_us", "_unnamed", "_name", "_block"]
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder the session names; a local one only without it."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="eventloom-"))
-    return df.checkpoint()
+def with_cells(events: DataFrame, micros: Column) -> DataFrame:
+    """Add the columns of ``CELL``, none of them null: microseconds, name and block of positions."""
+    micros = F.coalesce(micros, F.lit(0))
+    return events.withColumns({
+        "_second": times.floor_to(micros, 1_000_000), "_us": micros,
+        "_unnamed": F.col("event_name").isNull(), "_name": F.coalesce("event_name", F.lit("")),
+        "_block": position_block(events)})
 
 
-def slot_keys(events: DataFrame) -> list[str]:
-    return ["_slot", PIECE] if PIECE in events.columns else ["_slot"]
+def cell_starts(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row per cell with ``_before``, the rows of its slot (``keys``) in earlier cells."""
+    cells = rows.groupBy(*keys, *CELL).agg(F.count(F.lit(1)).alias("_n"))
+    seconds = cells.groupBy(*keys, "_second").agg(F.sum("_n").alias("_n"))
 
+    def earlier(by, order):
+        window = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+        return F.coalesce(F.sum("_n").over(window), F.lit(0))
 
-def is_crowded(slotted: DataFrame, limit: int = ROWS_PER_SLOT) -> bool:
-    """Whether any (user, slot) holds more rows than one task should sort. The
-    rows are counted on the map side; one number comes back."""
-    counts = slotted.groupBy("user_uuid", "_slot").agg(F.count(F.lit(1)).alias("_n"))
-    return (counts.agg(F.max("_n")).first()[0] or 0) > limit
+    seconds = seconds.select(*keys, "_second", earlier(keys, ["_second"]).alias("_of_second"))
+    within = cells.select(*keys, *CELL, earlier([*keys, "_second"], CELL[1:]).alias("_of_cell"))
+    return within.join(seconds, [*keys, "_second"]).select(
+        *keys, *CELL, (F.col("_of_second") + F.col("_of_cell")).alias("_before"))
 
 
-def rank_in_slot(*keys: str, time: str) -> Column:
-    """1, 2, ... by time, name and source position within the keys."""
-    return F.row_number().over(W.partitionBy(*keys).orderBy(
-        F.col(time).asc_nulls_last(), F.col("event_name").asc_nulls_last(), "event_pos"))
+def rank_in_cell(*keys: str) -> Column:
+    """1, 2, ... by source position within the cell."""
+    return F.row_number().over(W.partitionBy(*keys, *CELL).orderBy("event_pos"))
 
 
 def timeline(events: DataFrame, threshold_ms=None) -> DataFrame:
@@ -107,17 +92,17 @@ def timeline(events: DataFrame, threshold_ms=None) -> DataFrame:
         events = remove_bursts(events, threshold_ms)
     # Rows without a user form a group of their own here.
     key = F.coalesce(F.concat(F.lit("="), "user_uuid"), F.lit(""))
-    slotted = events.withColumns({
+    slotted = with_cells(events, F.unix_micros("event_time")).withColumns({
         "_key": key, "_slot": slot_of(F.unix_seconds("event_time"), SLOT_SECONDS)})
-    slot = slot_keys(events)
-    earlier = W.partitionBy("_key").orderBy(*slot).rowsBetween(W.unboundedPreceding, -1)
-    before = (
-        slotted.groupBy("_key", *slot).agg(F.count(F.lit(1)).alias("_n"))
-        .select("_key", *slot, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    earlier = W.partitionBy("_key").orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
+    slots = (
+        slotted.groupBy("_key", "_slot").agg(F.count(F.lit(1)).alias("_n"))
+        .select("_key", "_slot", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_of_slot"))
     )
+    starts = cell_starts(slotted, "_key", "_slot").join(slots, ["_key", "_slot"])
     return (
-        slotted.withColumn("_rank", rank_in_slot("_key", *slot, time="event_time"))
-        .join(before, ["_key", *slot])
-        .select(*[c for c in events.columns if c != PIECE],
-                (F.col("_before") + F.col("_rank")).alias("sequence"))
+        slotted.withColumn("_rank", rank_in_cell("_key", "_slot"))
+        .join(starts, ["_key", "_slot", *CELL])
+        .select(*events.columns,
+                (F.col("_of_slot") + F.col("_before") + F.col("_rank")).alias("sequence"))
     )

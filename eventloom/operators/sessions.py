@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from eventloom.functions import times
 from eventloom.operators.ordering import (
-    PIECE, rank_in_slot, slot_keys, slot_of, slot_seconds)
+    CELL, cell_starts, rank_in_cell, slot_of, slot_seconds, with_cells)
 from eventloom.operators.parts import in_sequence, part_of
 from eventloom.schema import ITEMS_PER_PART, NODES_PER_SESSION, SESSION_GAP_MINUTES
 
@@ -15,26 +15,24 @@ from eventloom.schema import ITEMS_PER_PART, NODES_PER_SESSION, SESSION_GAP_MINU
 PREVIEW_EVENTS = 6
 
 
-def with_slot(events: DataFrame, gap_minutes, spread=True) -> DataFrame:
+def with_slot(events: DataFrame, gap_minutes) -> DataFrame:
     seconds = times.local_seconds(F.col("event_local"))
     return events.where(F.col("user_uuid").isNotNull()).withColumn(
-        "_slot", slot_of(seconds, slot_seconds(gap_minutes), spread))
+        "_slot", slot_of(seconds, slot_seconds(gap_minutes)))
 
 
 def session_slots(events: DataFrame, gap_minutes=SESSION_GAP_MINUTES,
-                  max_nodes=NODES_PER_SESSION, spread=False) -> DataFrame:
-    """One row per (user, slot), or piece of a slot, with its session and the
-    totals before it.
+                  max_nodes=NODES_PER_SESSION) -> DataFrame:
+    """One row per (user, slot) with its session and the totals before it.
 
     A slot is too short to hold a session break, so the session of all its
     events follows from the first and last event of each slot.
     """
-    slot = slot_keys(events) if spread else ["_slot"]
-    slots = with_slot(events, gap_minutes, spread).groupBy("user_uuid", *slot).agg(
+    slots = with_slot(events, gap_minutes).groupBy("user_uuid", "_slot").agg(
         F.count(F.lit(1)).alias("_n"),
         F.min("event_local").alias("_first"), F.max("event_local").alias("_last"))
 
-    by_slot = W.partitionBy("user_uuid").orderBy(*slot)
+    by_slot = W.partitionBy("user_uuid").orderBy("_slot")
     so_far = by_slot.rowsBetween(W.unboundedPreceding, W.currentRow)
     whole = W.partitionBy("user_uuid")
     session = W.partitionBy("user_uuid", "session_id")
@@ -77,19 +75,17 @@ def number_events(events: DataFrame, gap_minutes=SESSION_GAP_MINUTES,
     ``session_count``     sessions of the user
     ``session_size``      events of the session
     ``session_start``, ``session_end``  first and last time of the session
-
-    On events that may crowd a slot, call ``ordering.with_pieces`` first.
     """
-    slot = slot_keys(events)
-    slots = session_slots(events, gap_minutes, max_nodes, spread=True).drop("_n", "_first", "_last")
-    rank = F.col("_rank")
+    slots = session_slots(events, gap_minutes, max_nodes).drop("_n", "_first", "_last")
+    rows = with_cells(with_slot(events, gap_minutes), times.local_micros(F.col("event_local")))
+    starts = cell_starts(rows, "user_uuid", "_slot").join(slots, ["user_uuid", "_slot"])
+    rank = F.col("_before") + F.col("_rank")
     place = F.col("_rank_before") + rank
     return (
-        with_slot(events, gap_minutes)
-        .withColumn("_rank", rank_in_slot("user_uuid", *slot, time="event_local"))
-        .join(slots, ["user_uuid", *slot])
+        rows.withColumn("_rank", rank_in_cell("user_uuid", "_slot"))
+        .join(starts, ["user_uuid", "_slot", *CELL])
         .select(
-            *[c for c in events.columns if c != PIECE],
+            *events.columns,
             (F.col("_seq_before") + rank).alias("sequence"),
             "session_id",
             place.alias("session_sequence"),

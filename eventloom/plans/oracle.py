@@ -399,10 +399,10 @@ from num a join num b on a.user_uuid = b.user_uuid and a.session_id = b.session_
 group by 1, 2"""),
     "chart_labels": f"""
 with named as (
-  select event_id, event_type || ' & <#' || props || '> [|;' || chr(13) || chr(10) || '] "'
+  select event_id, event_type, event_type || ' & <#' || props || '> [|;' || chr(13) || chr(10) || '] "'
     || repeat(event_type, 3) as name
   from events)
-select event_id, {label('name')} as label, {label('substr(name, 1, 24)')} as short_label
+select event_id, {label('name')} as label, {label('event_type')} as short_label
 from named""",
     "journey_record": sql(numbered("app"), f"""
 listed as (
@@ -433,7 +433,7 @@ select user_uuid, coalesce(part, 1) as part, coalesce(total_events, 0) as total_
 from (select distinct user_uuid from ev) left join meta using (user_uuid)
 left join listed using (user_uuid)"""),
     "flowchart_text": flowchart("app", 50, 30, 1000),
-    "flowchart_parts": flowchart("(select * from ev where event_name = 'purchase')", 3, 720, 10),
+    "flowchart_parts": flowchart("ev", 3, 720, 10),
     "ai_payload": sql(numbered("app"), repetition("ev"), payload(10_000, "app", "ev"),
                       select="select * from pay"),
     "ai_payload_parts": sql(

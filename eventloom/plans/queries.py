@@ -306,10 +306,10 @@ def transition_counts(spark, sf_dir):
 def chart_labels(spark, sf_dir):
     """Labels of the free-text properties, which hold characters to clean."""
     props = spark.read.parquet(f"{sf_dir}/events.parquet").select(
-        "event_id", F.concat("event_type", F.lit(" & <#"), "props", F.lit("> [|;\r\n] \""),
+        "event_id", "event_type", F.concat("event_type", F.lit(" & <#"), "props", F.lit("> [|;\r\n] \""),
                              F.repeat("event_type", 3)).alias("name"))
     return props.select("event_id", texts.chart_label(F.col("name")).alias("label"),
-                        texts.chart_label(F.substring("name", 1, 24)).alias("short_label"))
+                        texts.chart_label(F.col("event_type")).alias("short_label"))
 
 
 @query
@@ -328,8 +328,8 @@ def flowchart_text(spark, sf_dir):
 
 @query
 def flowchart_parts(spark, sf_dir):
-    events = users.select_event(load_events(spark, sf_dir), "purchase")
-    everyone = users.unique_users(load_events(spark, sf_dir))
+    events = load_events(spark, sf_dir)
+    everyone = users.unique_users(events)
     charts = flowcharts.flowcharts(numbered(events, WIDE_GAP_MINUTES, FEW_NODES), FEW_SESSIONS)
     return flowcharts.with_empty_charts(charts, events, everyone)
 

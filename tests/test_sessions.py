@@ -119,29 +119,29 @@ def test_same_sessions_as_session_windows(spark):
     assert built_in.count() == sessions.session_summary(events).count()
 
 
-def test_pieces_change_nothing_but_the_size_of_groups(spark):
-    """Unnamed copies crowd one slot of one user; pieces spread them."""
+def test_copies_and_rows_without_time_are_numbered_in_order(spark, monkeypatch):
+    """Unnamed copies crowd one slot of one user; cells are blocks of their positions."""
+    monkeypatch.setattr(ordering, "BLOCK_BITS", 6)
     n = 4000
     row = F.col("id")
     micros = F.lit(1_767_600_000_000_000) + F.when(row % 3 > 0, 0).otherwise(row * 2_000_000)
     events = spark.range(n).select(
-        F.lit("u").alias("user_uuid"), F.lit(None).cast("string").alias("event_name"),
+        F.lit("u").alias("user_uuid"),
+        F.when(row % 5 == 0, F.concat(F.lit("n"), row % 7)).alias("event_name"),
         F.timestamp_micros(micros).alias("event_time"),
         F.timestamp_micros(micros).cast("timestamp_ntz").alias("event_local"),
         row.alias("event_pos"))
-    timeless = events.where("event_pos < 50").withColumns({
+    timeless = events.where("event_pos < 300").withColumns({
         "event_time": F.lit(None).cast("timestamp"),
         "event_local": F.lit(None).cast("timestamp_ntz"), "event_pos": F.col("event_pos") + n})
     events = events.unionByName(timeless)
-    assert ordering.is_crowded(sessions.with_slot(events, 30), 1000)
-    assert not ordering.is_crowded(sessions.with_slot(events, 30), n)
-    pieces = ordering.with_pieces(events, pieces=16)
-    groups = sessions.with_slot(pieces, 30).groupBy("user_uuid", "_slot", "event_piece").count()
-    assert groups.agg(F.max("count")).first()[0] < 1000
-    plain = sessions.number_events(events)
-    cut = sessions.number_events(pieces)
-    assert cut.columns == plain.columns
-    assert sorted(map(repr, cut.collect())) == sorted(map(repr, plain.collect()))
-    by_instant = ordering.timeline(ordering.with_pieces(events, "event_time", 16))
-    assert sorted(map(repr, by_instant.collect())) == sorted(
-        map(repr, ordering.timeline(events).collect()))
+    cells = ordering.with_cells(sessions.with_slot(events, 30), F.unix_micros("event_time"))
+    assert cells.groupBy("_slot", *ordering.CELL).count().agg(F.max("count")).first()[0] <= 64
+    order = sorted(events.collect(), key=lambda r: (
+        r.event_local is None, r.event_local, r.event_name is None, r.event_name or "", r.event_pos)
+        if r.event_local else (True, 0, r.event_name is None, r.event_name or "", r.event_pos))
+    expected = {r.event_pos: place for place, r in enumerate(order, 1)}
+    for numbered in (sessions.number_events(events), ordering.timeline(events)):
+        assert {r.event_pos: r.sequence for r in numbered.collect()} == expected
+    by_struct = events.withColumn("event_pos", F.struct(F.lit("f").alias("file"), "event_pos"))
+    assert {r.event_pos.event_pos: r.sequence for r in ordering.timeline(by_struct).collect()} == expected
