@@ -106,9 +106,9 @@ def timeline(events: DataFrame, threshold_ms=None) -> DataFrame:
         .select("_key", "_slot", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_of_slot"))
     )
     starts = cell_starts(slotted, "_key", "_slot").join(slots, ["_key", "_slot"])
+    # The counts stand left, all joins in one chain: a filter on the user then reaches every scan.
     return (
-        slotted.withColumn("_rank", rank_in_cell("_key", "_slot"))
-        .join(starts, ["_key", "_slot", *CELL])
+        starts.join(slotted.withColumn("_rank", rank_in_cell("_key", "_slot")), ["_key", "_slot", *CELL])
         .select(*events.columns,
                 (F.col("_of_slot") + F.col("_before") + F.col("_rank")).alias("sequence"))
     )

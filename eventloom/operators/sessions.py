@@ -81,9 +81,9 @@ def number_events(events: DataFrame, gap_minutes=SESSION_GAP_MINUTES,
     starts = cell_starts(rows, "user_uuid", "_slot").join(slots, ["user_uuid", "_slot"])
     rank = F.col("_before") + F.col("_rank")
     place = F.col("_rank_before") + rank
+    # The counts stand left, all joins in one chain: a filter on the user then reaches every scan.
     return (
-        rows.withColumn("_rank", rank_in_cell("user_uuid", "_slot"))
-        .join(starts, ["user_uuid", "_slot", *CELL])
+        starts.join(rows.withColumn("_rank", rank_in_cell("user_uuid", "_slot")), ["user_uuid", "_slot", *CELL])
         .select(
             *events.columns,
             (F.col("_seq_before") + rank).alias("sequence"),
