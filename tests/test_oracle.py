@@ -2,7 +2,9 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from eventloom.plans.oracle import SQL
+from eventloom.plans.queries import QUERIES
 from tests.support import SAME_TYPE, TESTDATA, duck, duck_rows, spark_rows
 
 SF_DIR = f"{TESTDATA}/sf0.001"
@@ -14,14 +16,14 @@ def connection():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(SQL)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, connection, name):
-    df = queries()[name](spark, SF_DIR)
+    df = QUERIES[name](spark, SF_DIR)
     names, rows = spark_rows(df)
-    other_names, other_rows, types = duck_rows(connection, oracle_sql()[name])
+    other_names, other_rows, types = duck_rows(connection, SQL[name])
     assert names == other_names
     assert len(rows) == len(other_rows) > 0
     assert rows == other_rows

@@ -5,8 +5,8 @@ import re
 import pytest
 from pyspark.sql import Window as W, functions as F
 
-from __spark_entry__ import queries
 from eventloom.operators import cleaning, sessions
+from eventloom.plans.queries import QUERIES
 from eventloom.sources.tables import load_events
 from tests.support import TESTDATA, spark_rows
 
@@ -59,7 +59,7 @@ def test_event_filter_stays_above_sessions(spark, tmp_path):
 
 
 def test_no_operator_runs_python_or_nested_loops(spark):
-    for name, query in queries().items():
+    for name, query in QUERIES.items():
         text = plan(query(spark, SF_DIR))
         for banned in ("Python", "CartesianProduct", "BroadcastNestedLoopJoin", "SinglePartition"):
             if banned == "SinglePartition" and name in ("unique_users_count", "global_metrics"):
@@ -71,11 +71,11 @@ def test_no_operator_runs_python_or_nested_loops(spark):
 def test_results_do_not_depend_on_the_zone(spark, zone):
     names = ["event_calendar", "dedup_clean", "daily_repetition", "session_summary",
              "burst_audit", "journey_events"]
-    before = {name: spark_rows(queries()[name](spark, SF_DIR)) for name in names}
+    before = {name: spark_rows(QUERIES[name](spark, SF_DIR)) for name in names}
     spark.conf.set("spark.sql.session.timeZone", zone)
     try:
         for name in names:
-            assert spark_rows(queries()[name](spark, SF_DIR)) == before[name], name
+            assert spark_rows(QUERIES[name](spark, SF_DIR)) == before[name], name
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
