@@ -2,7 +2,7 @@
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir), with ``docs`` the table the
 stage before left, and all but the last return the columns of ``documents``. SQL cannot express
-the stages, so ``ORACLE_SQL`` is None and the tests hold them against plain versions.
+the stages, so ``ORACLE_SQL`` is None; the tests hold the operators the stages call against plain versions.
 """
 
 from __future__ import annotations
