@@ -1,7 +1,7 @@
 """Stored model replies back into rows. A reply answers one prompt, so it is known
 by user and part."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from eventloom.schema import REPLY_SCHEMA
 
@@ -36,21 +36,49 @@ def is_one_object(text):
     return F.coalesce(in_array & in_object & F.json_object_keys(text).isNotNull(), F.lit(False))
 
 
+FIELDS = ["interpreted_sessions", "key_observations", "overall_narrative"]
+STRICT = {"allowSingleQuotes": "false", "columnNameOfCorruptRecord": "_corrupt"}
+
+
+def raw_fields(text):
+    """The fields of a reply, each as the text of its JSON value, and ``_corrupt``, which
+    is null for strict JSON."""
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in [*FIELDS, "_corrupt"]])
+    return F.from_json(text, schema, STRICT)
+
+
+def shape_error():
+    """Name of the first field whose value is given but of another shape than a reply
+    should have, from ``_raw`` and ``parsed``; null if there is none."""
+    listed = F.from_json("_raw.interpreted_sessions", "array<struct<events string>>")
+    odd_events = F.exists(listed, lambda s: s["events"].isNotNull() & ~s["events"].startswith("["))
+    sessions = F.col("parsed.interpreted_sessions")
+    odd = {name: F.col(f"_raw.{name}").isNotNull() & F.col(f"parsed.{name}").isNull() for name in FIELDS}
+    odd["interpreted_sessions"] |= F.coalesce(F.exists(sessions, lambda s: s.isNull()), F.lit(False))
+    found = F.when(F.coalesce(odd_events, F.lit(False)), F.lit("events"))
+    return F.coalesce(*[F.when(odd[name], F.lit(name)) for name in FIELDS], found)
+
+
 def parse_replies(replies: DataFrame) -> DataFrame:
-    """Add ``is_structured``, ``parsed`` and ``parse_error`` to ``content``."""
+    """Add ``is_structured``, ``parsed``, ``parse_error`` and ``shape_error`` to ``content``.
+
+    A field of another shape is no parse error: ``parsed`` lacks its contents, ``shape_error``
+    names it, and ``content`` has it still."""
     text = F.col("_text")
     has_field = F.coalesce(
         F.array_contains(F.json_object_keys(text), REQUIRED_FIELD), F.lit(False))
     return (
         replies.withColumn("_text", without_fence(F.col("content")))
-        .withColumn("_object", is_one_object(text))
+        .withColumn("_raw", raw_fields(text))
+        .withColumn("_object", is_one_object(text) & F.col("_raw._corrupt").isNull())
         .withColumn("is_structured", F.col("_object") & has_field)
         .withColumn("parsed", F.when(F.col("is_structured"),
                                      F.from_json(text, REPLY_SCHEMA)))
         .withColumn("parse_error",
                     F.when(~F.col("_object"), F.lit("Not a JSON object"))
                     .when(~has_field, F.lit(f"Missing {REQUIRED_FIELD} field")))
-        .drop("_text", "_object")
+        .withColumn("shape_error", F.when(F.col("is_structured"), shape_error()))
+        .drop("_text", "_object", "_raw")
     )
 
 
@@ -91,7 +119,7 @@ def reply_notes(parsed: DataFrame) -> DataFrame:
 def reply_audit(parsed: DataFrame, events: DataFrame) -> DataFrame:
     """Whether each structured reply keeps to what was asked of it: at least one
     event per session, only events the user has, at most 10 sessions and at most
-    3 observations."""
+    3 observations. A reply with a field of another shape does not pass."""
     sessions = F.coalesce("parsed.interpreted_sessions",
                           F.array().cast(REPLY_SCHEMA["interpreted_sessions"].dataType))
     names = F.transform(sessions, lambda session: F.coalesce(
@@ -103,14 +131,16 @@ def reply_audit(parsed: DataFrame, events: DataFrame) -> DataFrame:
         "observation_count": F.greatest(notes, F.lit(0)),
     }
     claimed = parsed.where("is_structured").select(
-        *KEYS, *[count.cast("bigint").alias(name) for name, count in counts.items()],
+        *KEYS, F.col("shape_error").isNull().alias("_shaped"),
+        *[count.cast("bigint").alias(name) for name, count in counts.items()],
         F.explode_outer(F.array_distinct(F.flatten(names))).alias("event_name"))
     real = events.select("user_uuid", "event_name").distinct().withColumn("_real", F.lit(True))
     unknown = F.col("event_name").isNotNull() & F.col("_real").isNull()
     return (
         claimed.join(real, ["user_uuid", "event_name"], "left")
-        .groupBy(*KEYS, *counts).agg(F.count_if(unknown).alias("unknown_events"))
+        .groupBy(*KEYS, "_shaped", *counts).agg(F.count_if(unknown).alias("unknown_events"))
         .withColumn("passes", (F.col("empty_sessions") == 0) & (F.col("unknown_events") == 0)
                     & (F.col("session_count") <= MAX_SESSIONS)
-                    & (F.col("observation_count") <= MAX_OBSERVATIONS))
+                    & (F.col("observation_count") <= MAX_OBSERVATIONS) & F.col("_shaped"))
+        .drop("_shaped")
     )

@@ -49,7 +49,10 @@ def write_reports(spark, events_path, target, fmt, buckets, per_user_path):
 
 def read_events(spark, path, fmt, made_by):
     if fmt == "csv":
-        return readers.read_cleaned_csv(spark, path)
+        try:
+            return readers.read_cleaned_csv(spark, path)
+        except readers.MissingInput as error:
+            raise readers.MissingInput(f"{path} not found; run the {made_by} job first") from error
     return readers.read_table(spark, path, made_by)
 
 

@@ -1,7 +1,7 @@
 """Reading event logs and the tables the jobs write."""
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from eventloom.functions import times
 from eventloom.schema import CALENDAR_COLUMNS, RAW_COLUMNS
@@ -16,17 +16,32 @@ class MissingInput(FileNotFoundError):
     """A table that another job should have written is not there."""
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def marked_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Event CSV with all columns as text, in any column order, plus the source
-    position. Columns beyond the known ones are kept.
+    position and ``malformed_row``: the line as it came where it has more fields
+    than the header, or a quote that is never closed and swallows later fields.
+    Lines with fewer fields are legal, the rest is null. Columns beyond the known
+    ones are kept. Files whose headers differ fail the job.
 
     Files with line breaks inside quotes need ``multi_line``, which gives up
     splitting a file between tasks.
     """
-    events = (
-        spark.read.option("header", True).option("escape", '"')
-        .option("multiLine", multi_line).csv(path)
+    reader = (
+        spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
+        .option("enforceSchema", False).option("columnPruning", False)
+        .option("columnNameOfCorruptRecord", "malformed_row")
     )
+    try:
+        names = reader.csv(path).columns
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise MissingInput(f"{path} not found") from error
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in [*names, "malformed_row"]])
+    events = reader.schema(schema).csv(path)
+    bare = F.regexp_replace("malformed_row", r'"(?:[^"]|"")*"', "")
+    odd = (F.regexp_count(bare, F.lit(",")) >= len(names)) | bare.contains('"')
+    events = events.withColumn("malformed_row", F.when(odd, F.col("malformed_row")))
     missing = [name for name in RAW_COLUMNS if name not in events.columns]
     if missing:
         raise ValueError(f"{path} lacks the columns {', '.join(missing)}")
@@ -36,6 +51,15 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFr
     return events.withColumn("event_pos", position)
 
 
+def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Event CSV as ``marked_csv`` reads it; a malformed line fails the job."""
+    events = marked_csv(spark, path, multi_line)
+    message = F.concat(F.lit("malformed line: "), F.col("malformed_row"))
+    bad = F.col("malformed_row").isNotNull()
+    return events.where(F.when(bad, F.raise_error(message).cast("boolean")).otherwise(True)).drop(
+        "malformed_row")
+
+
 def with_times(events: DataFrame, instant) -> DataFrame:
     """Replace the text in ``event_time`` by the instant; add wall clock and
     offset as the text has them."""
@@ -88,6 +112,16 @@ def read_raw_events(spark: SparkSession, path: str, multi_line: bool = False) ->
     return parse_raw(read_csv(spark, path, multi_line))
 
 
+def read_raw_lenient(spark: SparkSession, path: str,
+                     multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Readable rows with parsed time, and the rejected rows: malformed lines, with
+    ``malformed_row`` set, and those whose time is unreadable, as they came."""
+    events = marked_csv(spark, path, multi_line)
+    whole = F.col("malformed_row").isNull()
+    good, unread = parse_raw_lenient(events.where(whole))
+    return good.drop("malformed_row"), unread.unionByName(events.where(~whole))
+
+
 def read_cleaned_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """A cleaned or chronological table stored as CSV; the derived columns are
     computed again from the time."""

@@ -34,6 +34,25 @@ def test_forms_that_do_not(spark):
         BODY + ', "b": 2', f"Here it is:\n```json\n{BODY}\n```", BODY[:-1]) == [False] * 14
 
 
+def test_no_strict_json(spark):
+    assert structured(spark, "{'interpreted_sessions': []}",
+                      '{"interpreted_sessions": [], "overall_narrative": "a\nb"}') == [False] * 2
+
+
+def test_other_shapes_are_named_and_fail_the_audit(spark):
+    parsed = parse(
+        spark, '{"interpreted_sessions": ["a"]}', '{"interpreted_sessions": {"events": ["a"]}}',
+        '{"interpreted_sessions": [{"events": "a"}]}',
+        '{"interpreted_sessions": [{"events": ["a"]}], "key_observations": "one"}',
+        '{"interpreted_sessions": [{"events": ["a"]}], "key_observations": ["one"]}')
+    rows = parsed.orderBy("part").collect()
+    assert [r.is_structured for r in rows] == [True] * 5
+    assert [r.shape_error for r in rows] == [
+        "interpreted_sessions", "interpreted_sessions", "events", "key_observations", None]
+    audit = replies.reply_audit(parsed, event(spark, ("u", "a", "2026-01-05 10:00:00")))
+    assert [r.passes for r in audit.orderBy("part").collect()] == [False] * 4 + [True]
+
+
 def test_missing_reply(spark):
     row = parse(spark, None).first()
     assert (row.is_structured, row.parsed) == (False, None)

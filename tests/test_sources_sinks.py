@@ -50,6 +50,24 @@ def test_unreadable_times(spark, tmp_path, value):
     assert [r.event_time for r in bad.collect()] == [value]
 
 
+@pytest.mark.parametrize("line", [ROWS[0] + ",more,and more", ROWS[0] + ",",
+                                  'Application,"2026-01-05 23:59:59.990000 +0530,tap,u1,x'])
+def test_malformed_lines(spark, tmp_path, line):
+    (tmp_path / "bad.csv").write_text(f"{HEADER}{ROWS[1]}\n{line}\nsystem,,short\n")
+    with pytest.raises(Exception, match="malformed line"):
+        readers.read_raw_events(spark, str(tmp_path)).collect()
+    good, bad = readers.read_raw_lenient(spark, str(tmp_path))
+    assert sorted(r.event_name for r in good.collect()) == ["short", "tap"]
+    assert [r.malformed_row for r in bad.collect()] == [line]
+
+
+def test_headers_that_differ(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(HEADER + ROWS[0] + "\n")
+    (tmp_path / "b.csv").write_text("event_name,user_uuid,category,event_time,device\ntap,u,c,,x\n")
+    with pytest.raises(Exception, match="header"):
+        readers.read_csv(spark, str(tmp_path)).collect()
+
+
 def test_missing_time_is_no_error(spark, tmp_path):
     (tmp_path / "a.csv").write_text(HEADER + "system,,e,u,x\n")
     row = readers.read_raw_events(spark, str(tmp_path)).first()
@@ -75,8 +93,9 @@ def test_missing_column(spark, tmp_path):
 
 
 def test_missing_table_names_the_job(spark, tmp_path):
-    with pytest.raises(readers.MissingInput, match="run the clean job first"):
-        jobs.timeline(spark, str(tmp_path), str(tmp_path / "out"))
+    for fmt in ("parquet", "csv"):
+        with pytest.raises(readers.MissingInput, match="run the clean job first"):
+            jobs.timeline(spark, str(tmp_path), str(tmp_path / "out"), fmt=fmt)
 
 
 def read_back(path):
