@@ -12,7 +12,8 @@ def main():
     parser.add_argument("source")
     parser.add_argument("target")
     parser.add_argument("--format", default="parquet", choices=["parquet", "csv"])
-    parser.add_argument("--buckets", type=int, help="hash users into this many folders")
+    parser.add_argument("--buckets", type=int, default=jobs.USER_BUCKETS,
+                        help="hash users into this many folders; 0: a folder per user")
     parser.add_argument("--threshold-ms", type=float,
                         help="longest gap inside a burst (clean, timeline)")
     parser.add_argument("--instruction", default="Describe what this user did.",
@@ -24,7 +25,7 @@ def main():
     else:
         job = jobs.clean if args.job == "clean" else jobs.timeline
         chosen = {} if args.threshold_ms is None else {"threshold_ms": args.threshold_ms}
-        job(spark, args.source, args.target, fmt=args.format, buckets=args.buckets, **chosen)
+        job(spark, args.source, args.target, fmt=args.format, buckets=args.buckets or None, **chosen)
 
 
 if __name__ == "__main__":

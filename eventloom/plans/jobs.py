@@ -8,14 +8,18 @@ from eventloom.operators import (
     audit, cleaning, flowcharts, journeys, payloads, sessions, users)
 from eventloom.schema import (
     BURST_MS, NODES_PER_SESSION, REPETITION_SCHEMA, SESSION_GAP_MINUTES, USERS_SCHEMA)
-from eventloom.session import fit_shuffles
+from eventloom.session import fit_shuffles, keeps_shuffles
 from eventloom.sources import readers, sinks
 
+#: Folders the users are hashed into; None gives each user one, which suits few users only.
+USER_BUCKETS = 256
 
+
+@keeps_shuffles
 def clean(spark: SparkSession, source: str, target: str, threshold_ms=BURST_MS,
-          fmt: str = "parquet", buckets: int | None = None, per_user: bool = True) -> None:
+          fmt: str = "parquet", buckets: int | None = USER_BUCKETS, per_user: bool = True) -> None:
     """Raw CSV to cleaned events, repetition summary, user list and count, and
-    one folder per user (or per user bucket)."""
+    one folder per user bucket (per user where ``buckets`` is None)."""
     raw = readers.read_raw_events(spark, source)
     fit_shuffles(raw)
     order = sinks.name_order() if fmt == "csv" else None
@@ -26,8 +30,9 @@ def clean(spark: SparkSession, source: str, target: str, threshold_ms=BURST_MS,
                   buckets, f"{target}/per_user_cleaned_events" if per_user else None)
 
 
+@keeps_shuffles
 def timeline(spark: SparkSession, source: str, target: str, threshold_ms=None,
-             fmt: str = "parquet", buckets: int | None = None, per_user: bool = True) -> None:
+             fmt: str = "parquet", buckets: int | None = USER_BUCKETS, per_user: bool = True) -> None:
     """Cleaned events to a table in time order, with the same reports over it."""
     cleaned = read_events(spark, f"{source}/cleaned_events", fmt, "clean")
     fit_shuffles(cleaned)
@@ -56,6 +61,7 @@ def read_events(spark, path, fmt, made_by):
     return readers.read_table(spark, path, made_by)
 
 
+@keeps_shuffles
 def analyse(spark: SparkSession, source: str, target: str, instruction: str,
             category: str = "application", gap_minutes=SESSION_GAP_MINUTES,
             max_nodes=NODES_PER_SESSION) -> None:

@@ -1,5 +1,6 @@
 """Spark session with the settings the jobs are written for."""
 
+import functools
 import math
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,10 +27,23 @@ def get_session(app_name="eventloom", **overrides):
     return builder.getOrCreate()
 
 
-# Input bytes per shuffle partition, and the number of partitions beyond which
-# tracking them costs more than larger partitions, which spill, do.
+#: Input bytes per shuffle partition.
 BYTES_PER_PARTITION = 128 << 20
-MOST_PARTITIONS = 40_000
+SHUFFLE_PARTITIONS = "spark.sql.shuffle.partitions"
+
+
+def keeps_shuffles(job):
+    """Let a job, whose first argument is the session, change the number of shuffle
+    partitions for itself only."""
+    @functools.wraps(job)
+    def run(spark: SparkSession, *args, **options):
+        before = spark.conf.get(SHUFFLE_PARTITIONS)
+        try:
+            return job(spark, *args, **options)
+        finally:
+            spark.conf.set(SHUFFLE_PARTITIONS, before)
+
+    return run
 
 
 def fit_shuffles(source: DataFrame) -> int:
@@ -39,7 +53,6 @@ def fit_shuffles(source: DataFrame) -> int:
     those of an aggregation or window."""
     spark = source.sparkSession
     size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    wanted = min(MOST_PARTITIONS, math.ceil(size / BYTES_PER_PARTITION))
-    count = max(wanted, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    spark.conf.set("spark.sql.shuffle.partitions", count)
+    count = max(math.ceil(size / BYTES_PER_PARTITION), int(spark.conf.get(SHUFFLE_PARTITIONS)))
+    spark.conf.set(SHUFFLE_PARTITIONS, count)
     return count

@@ -108,7 +108,7 @@ def read_back(path):
 
 def test_csv_jobs_end_to_end(spark, raw_csv, tmp_path):
     first, second = str(tmp_path / "clean"), str(tmp_path / "time")
-    jobs.clean(spark, raw_csv, first, fmt="csv")
+    jobs.clean(spark, raw_csv, first, fmt="csv", buckets=None)
     rows = read_back(f"{first}/cleaned_events")
     assert list(rows[0]) == ["user_uuid", "event_name", "category", "event_time", "event_date",
                              "event_day", "event_time_only", "device"]
@@ -179,9 +179,11 @@ def test_shuffles_grow_with_the_source(spark, monkeypatch):
         assert session.fit_shuffles(table) == int(before)
         monkeypatch.setattr(session, "BYTES_PER_PARTITION", 10_000)
         assert session.fit_shuffles(table) > int(before)
-        monkeypatch.setattr(session, "MOST_PARTITIONS", 12)
         spark.conf.set("spark.sql.shuffle.partitions", before)
-        assert session.fit_shuffles(table) == 12
+        monkeypatch.setattr(session, "BYTES_PER_PARTITION", 1)
+        job = session.keeps_shuffles(lambda spark: session.fit_shuffles(table))
+        assert job(spark) > 40_000
+        assert spark.conf.get("spark.sql.shuffle.partitions") == before
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
@@ -196,3 +198,4 @@ def test_command_line(spark, raw_csv, tmp_path, monkeypatch):
                                       "--threshold-ms", "0"])
     command.main()
     assert spark.read.parquet(f"{target}/cleaned_events").count() == 6
+    assert glob.glob(f"{target}/per_user_cleaned_events/user_bucket=*")
