@@ -6,12 +6,19 @@ from eventloom.functions import times
 from eventloom.schema import SESSION_GAP_MINUTES
 
 
+def timeless_events_stream(events: DataFrame) -> DataFrame:
+    """Events of known users that have no time. They fall into no session window and
+    never end a session, so they are a stream of their own beside the summaries."""
+    return events.where(F.col("user_uuid").isNotNull() & F.col("event_time").isNull())
+
+
 def session_summary_stream(events: DataFrame, delay: str = "10 minutes",
                            gap_minutes: int = SESSION_GAP_MINUTES) -> DataFrame:
     """Date, first and last time and size of every session, once it is over.
 
     A session is known by user, date and start; numbering the sessions of a user
-    is left to the batch operator over the finished ones. With the setting
+    is left to the batch operator over the finished ones. Events without a time are
+    not in it, see ``timeless_events_stream``. With the setting
     ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition``,
     which ``eventloom.session`` turns on, each task merges its rows of a session
     before the shuffle.

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from eventloom.operators import cleaning, sessions
 from eventloom.sources.tables import load_events, with_copies
 from eventloom.streaming.bursts import remove_bursts_stream
-from eventloom.streaming.sessions import session_summary_stream
+from eventloom.streaming.sessions import session_summary_stream, timeless_events_stream
 from tests.support import TESTDATA, event
 
 SF_DIR = f"{TESTDATA}/sf0.001"
@@ -64,3 +64,12 @@ def test_sessions_as_in_batch(spark, tmp_path):
     batch = sessions.session_summary(events).drop("session_id")
     assert out.count() == batch.count()
     assert out.select(batch.columns).exceptAll(batch).count() == 0
+
+
+def test_no_event_of_a_known_user_is_lost(spark):
+    rows = [("u", 10), ("u", 4000), ("u", None), ("u", None), ("v", None), (None, 5), (None, None)]
+    events = spark.createDataFrame(rows, "user_uuid string, s long").select(
+        "user_uuid", F.timestamp_seconds("s").alias("event_time"),
+        F.timestamp_seconds("s").cast("timestamp_ntz").alias("event_local"))
+    counted = session_summary_stream(events).agg(F.sum("event_count")).first()[0]
+    assert (counted, timeless_events_stream(events).count()) == (2, 3)
