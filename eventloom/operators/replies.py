@@ -11,6 +11,8 @@ KEYS = ["user_uuid", "part"]
 # a preview shows.
 REQUIRED_FIELD = "interpreted_sessions"
 FENCE = "```"
+FENCE_OPENS = r"^```(json)?\n?"
+FENCE_CLOSES = r"\n?```$"
 MAX_SESSIONS = 10
 MAX_OBSERVATIONS = 3
 PREVIEW_EVENTS = 4
@@ -20,7 +22,7 @@ def without_fence(reply):
     """Reply text without surrounding white space and, when it starts with a
     code fence, without the fence lines."""
     text = F.regexp_replace(reply, r"^\s+|\s+$", "")
-    inner = F.regexp_replace(F.regexp_replace(text, r"^```(json)?\n?", ""), r"\n?```$", "")
+    inner = F.regexp_replace(F.regexp_replace(text, FENCE_OPENS, ""), FENCE_CLOSES, "")
     return F.when(F.startswith(text, F.lit(FENCE)), inner).otherwise(text)
 
 
