@@ -9,6 +9,9 @@ LABEL_TO = "'()()- "
 LABEL_LENGTH = 30
 LABEL_CUT = 27
 
+# Fixed value: stands for an event without a name in labels and paths.
+UNNAMED = "(unnamed)"
+
 
 def chart_label(text: Column) -> Column:
     """Event name made safe inside a flowchart label, at most 30 characters."""
@@ -17,6 +20,11 @@ def chart_label(text: Column) -> Column:
     return F.when(F.length(safe) > LABEL_LENGTH, cut).otherwise(safe)
 
 
+def shown_name(name: Column) -> Column:
+    """Event name as it stands in labels and paths."""
+    return F.coalesce(name, F.lit(UNNAMED))
+
+
 def user_key(user: Column) -> Column:
     """User id usable as one path component."""
     return F.translate(user, "/\\", "__")

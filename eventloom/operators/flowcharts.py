@@ -2,10 +2,10 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from eventloom.operators.journeys import journey_nodes, known_users
+from eventloom.operators.journeys import journey_nodes
 from eventloom.operators.parts import in_sequence, part_of
 from eventloom.operators.sessions import number_events, session_label
-from eventloom.operators.users import select_category
+from eventloom.operators.users import known_users, select_category
 from eventloom.schema import NODES_PER_SESSION, SESSION_GAP_MINUTES, SESSIONS_PER_PART
 
 # The lines every chart shares.

@@ -15,7 +15,9 @@ from eventloom.operators import users as user_ops
 from eventloom.operators.parts import in_sequence, part_of, with_parts
 from eventloom.schema import ITEMS_PER_PART
 
+# What joins the names of a path, and the path of a user without events.
 ARROW = " -> "
+EMPTY_PATH = "No events found for this user."
 
 
 def journey_events(numbered: DataFrame) -> DataFrame:
@@ -28,16 +30,24 @@ def journey_events(numbered: DataFrame) -> DataFrame:
     )
 
 
-def journey_path(numbered: DataFrame, items_per_part=ITEMS_PER_PART) -> DataFrame:
+def journey_path(numbered: DataFrame, items_per_part=ITEMS_PER_PART,
+                 users: DataFrame | None = None) -> DataFrame:
     """Event names of a user joined by arrows. The parts of a user, joined by
-    another arrow, are the whole path."""
-    return (
+    another arrow, are the whole path. With users, those who have no events get one part
+    with 0 events and a note as its path."""
+    paths = (
         numbered
         .groupBy("user_uuid", part_of(F.col("sequence"), items_per_part).alias("part"))
-        .agg(in_sequence(F.col("sequence"), F.col("event_name")).alias("_names"))
+        .agg(in_sequence(F.col("sequence"), texts.shown_name(F.col("event_name"))).alias("_names"))
         .select("user_uuid", "part", F.size("_names").cast("bigint").alias("event_count"),
                 F.array_join("_names", ARROW).alias("path"))
     )
+    if users is None:
+        return paths
+    return user_ops.known_users(users).join(paths, "user_uuid", "left").select(
+        "user_uuid", F.coalesce("part", F.lit(1).cast("bigint")).alias("part"),
+        F.coalesce("event_count", F.lit(0).cast("bigint")).alias("event_count"),
+        F.coalesce("path", F.lit(EMPTY_PATH)).alias("path"))
 
 
 def session_path(numbered: DataFrame, items_per_part=ITEMS_PER_PART) -> DataFrame:
@@ -46,7 +56,7 @@ def session_path(numbered: DataFrame, items_per_part=ITEMS_PER_PART) -> DataFram
     return (
         numbered
         .groupBy("user_uuid", "session_id", part_of(place, items_per_part).alias("part"))
-        .agg(in_sequence(place, F.col("event_name")).alias("_names"))
+        .agg(in_sequence(place, texts.shown_name(F.col("event_name"))).alias("_names"))
         .select("user_uuid", "session_id", "part",
                 F.array_join("_names", ARROW).alias("path"))
     )
@@ -62,7 +72,7 @@ def journey_nodes(numbered: DataFrame) -> DataFrame:
             "user_uuid", "session_id", "session_sequence", "node_sequence",
             F.concat(F.lit("N"), F.col("node_sequence").cast("string")).alias("node_id"),
             "event_name",
-            texts.chart_label(F.col("event_name")).alias("label"),
+            texts.chart_label(texts.shown_name(F.col("event_name"))).alias("label"),
             "event_local", "session_count",
         )
     )
@@ -112,10 +122,6 @@ def journey_edges(numbered: DataFrame) -> DataFrame:
     )
 
 
-def known_users(users: DataFrame) -> DataFrame:
-    return users.where(F.col("user_uuid").isNotNull()).select("user_uuid").distinct()
-
-
 def empty_like(df: DataFrame, array: str):
     return F.array().cast(df.schema[array].dataType)
 
@@ -148,9 +154,7 @@ def journey_record(numbered: DataFrame, events: DataFrame, users: DataFrame | No
                             "event_breakdown"), "user_uuid", "left")
         .select("user_uuid", "total_events", "unique_event_types", metadata.alias("metadata"))
     )
-    if users is not None:
-        per_user = known_users(users).join(per_user, "user_uuid", "left").fillna(
-            0, ["total_events", "unique_event_types"])
+    per_user = user_ops.with_known_users(per_user, users, ["total_events", "unique_event_types"])
     return (
         with_parts(per_user, F.col("total_events"), items_per_part)
         .join(parts, ["user_uuid", "part"], "left")

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from eventloom.functions import times
 from eventloom.operators import users as user_ops
 from eventloom.operators.audit import daily_repetition
-from eventloom.operators.journeys import empty_like, known_users
+from eventloom.operators.journeys import empty_like
 from eventloom.operators.parts import in_sequence, part_of, with_parts
 from eventloom.operators.sessions import number_events
 from eventloom.schema import ITEMS_PER_PART
@@ -58,7 +58,7 @@ def ai_payload(numbered: DataFrame, metrics: DataFrame, repetition: DataFrame, u
         user_ops.most_repeated_name().alias("most_repeated_event"),
         F.count(F.lit(1)).alias("_repeated"))
     per_user = (
-        known_users(users).join(totals, "user_uuid", "left").join(repeats, "user_uuid", "left")
+        user_ops.known_users(users).join(totals, "user_uuid", "left").join(repeats, "user_uuid", "left")
         .fillna(0, ["total_events", "unique_event_types"])
     )
     has_events = F.col("total_events") > 0

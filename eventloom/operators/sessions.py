@@ -9,6 +9,7 @@ from eventloom.functions import times
 from eventloom.operators.ordering import (
     CELL, cell_starts, rank_in_cell, slot_of, slot_seconds, with_cells)
 from eventloom.operators.parts import in_sequence, part_of
+from eventloom.operators.users import with_known_users
 from eventloom.schema import ITEMS_PER_PART, NODES_PER_SESSION, SESSION_GAP_MINUTES
 
 # Fixed value: events shown in a preview.
@@ -114,9 +115,12 @@ def session_summary(events: DataFrame, gap_minutes=SESSION_GAP_MINUTES) -> DataF
     )
 
 
-def sessions_per_user(events: DataFrame, gap_minutes=SESSION_GAP_MINUTES) -> DataFrame:
-    return session_slots(events, gap_minutes).groupBy("user_uuid").agg(
+def sessions_per_user(events: DataFrame, gap_minutes=SESSION_GAP_MINUTES,
+                      users: DataFrame | None = None) -> DataFrame:
+    """Number of sessions; with users, also for those who have no events, with 0."""
+    counts = session_slots(events, gap_minutes).groupBy("user_uuid").agg(
         F.max("session_id").alias("session_count"))
+    return with_known_users(counts, users, ["session_count"])
 
 
 def event_item():

@@ -42,6 +42,18 @@ def in_time_order(view: DataFrame) -> DataFrame:
                         F.col("event_name").asc_nulls_last(), "event_pos")
 
 
+def known_users(users: DataFrame) -> DataFrame:
+    return users.where(F.col("user_uuid").isNotNull()).select("user_uuid").distinct()
+
+
+def with_known_users(per_user: DataFrame, users: DataFrame | None, counts: list[str]) -> DataFrame:
+    """Rows per user for all users given, with counts of 0 for those without a row; the rows
+    as they are when no users are given."""
+    if users is None:
+        return per_user
+    return known_users(users).join(per_user, "user_uuid", "left").fillna(0, counts)
+
+
 def unique_users(events: DataFrame) -> DataFrame:
     return events.select("user_uuid").distinct()
 
@@ -63,10 +75,11 @@ def global_metrics(events: DataFrame) -> DataFrame:
                       F.count(F.lit(1)).alias("total_events"))
 
 
-def user_metrics(events: DataFrame) -> DataFrame:
-    """Event count, distinct names, first and last event and span in days."""
+def user_metrics(events: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """Event count, distinct names, first and last event and span in days; with users,
+    also for those who have no events, with zeros."""
     date = F.col("event_local").cast("date")
-    return (
+    metrics = (
         events.where(F.col("user_uuid").isNotNull())
         .groupBy("user_uuid")
         .agg(F.count(F.lit(1)).alias("total_events"),
@@ -77,6 +90,7 @@ def user_metrics(events: DataFrame) -> DataFrame:
                 times.date_time_text(F.col("_first")).alias("first_event"),
                 times.date_time_text(F.col("_last")).alias("last_event"), "span_days")
     )
+    return with_known_users(metrics, users, ["total_events", "unique_event_types", "span_days"])
 
 
 def user_event_types(events: DataFrame) -> DataFrame:

@@ -82,7 +82,7 @@ def analyse(spark: SparkSession, source: str, target: str, instruction: str,
         "session_summary": sessions.session_summary(events, gap_minutes),
         "transitions": journeys.transitions(numbered),
         "flowcharts": charts,
-        "user_metrics": users.user_metrics(events),
+        "user_metrics": users.user_metrics(events, known),
         "event_breakdown": users.event_breakdown(events),
     }.items():
         sinks.write_table(table, f"{target}/{name}")

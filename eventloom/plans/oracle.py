@@ -229,6 +229,13 @@ select user_uuid, {part('sequence', size)} as part, count(*) as event_count,
   string_agg(event_name, ' -> ' order by sequence) as path from num group by 1, 2""")
 
 
+RARE = """(
+  select event_pos, user_uuid, case when event_pos % 5 <> 0 then event_name end as event_name,
+    'Rare' as category, event_local
+  from ev where cast(user_uuid as bigint) % 3 = 0 and event_pos % 2 = 0)"""
+
+RARE_SHOWN = f"(select * replace (coalesce(event_name, '(unnamed)') as event_name) from {RARE})"
+
 REPLIES = (numbered("ev"), SUMMARY, """
 named as (
   select user_uuid, session_id, case when session_id % 11 = 0 then []
@@ -320,6 +327,13 @@ select user_uuid, count(*) as total_events, count(distinct event_name) as unique
   strftime(max(event_local), '%Y-%m-%d %H:%M:%S.%f') as last_event,
   datediff('day', min(event_local)::date, max(event_local)::date) + 1 as span_days
 from app group by 1"""),
+    "user_metrics_rare": sql(select=f"""
+select user_uuid, count(r.event_pos) as total_events,
+  count(distinct r.event_name) as unique_event_types,
+  strftime(min(r.event_local), '%Y-%m-%d %H:%M:%S.%f') as first_event,
+  strftime(max(r.event_local), '%Y-%m-%d %H:%M:%S.%f') as last_event,
+  coalesce(datediff('day', min(r.event_local)::date, max(r.event_local)::date) + 1, 0) as span_days
+from (select distinct user_uuid from ev) left join {RARE} r using (user_uuid) group by 1"""),
     "user_event_types": sql(select="""
 select user_uuid, event_name, row_number() over (
   partition by user_uuid order by event_name) as position
@@ -355,6 +369,9 @@ where place = 1"""),
     "session_summary_wide": sql(numbered("ev", 720), SUMMARY, select="select * from summary"),
     "sessions_per_user": sql(numbered("app"), select="""
 select user_uuid, max(session_id) as session_count from num group by 1"""),
+    "sessions_per_user_rare": sql(numbered(RARE), select="""
+select user_uuid, coalesce(max(session_id), 0) as session_count
+from (select distinct user_uuid from ev) left join num using (user_uuid) group by 1"""),
     "session_cards": sql(numbered("inj"), SUMMARY, select=f"""
 select s.*, c.part, c.events from summary s join (
   select user_uuid, session_id, {part('session_sequence', 2)} as part,
@@ -375,6 +392,10 @@ select user_uuid, sequence, event_name, category, strftime(event_local, '%Y-%m-%
   session_sequence, event_pos from num"""),
     "journey_path": path("app", 10_000),
     "journey_path_parts": path("app", 20),
+    "journey_path_rare": path(RARE_SHOWN, 20) + """
+union all select distinct user_uuid, 1, 0, 'No events found for this user.' from ev
+where user_uuid not in (select user_uuid from num)""",
+    "session_path_rare": path(RARE_SHOWN, 4, per_session=True, gap=720),
     "session_path": path("inj", 4, per_session=True, gap=720),
     "journey_nodes": sql(numbered("app", 720, 3), select=f"""
 select user_uuid, session_id, session_sequence, node_sequence, 'N' || node_sequence as node_id,
@@ -433,6 +454,7 @@ select user_uuid, coalesce(part, 1) as part, coalesce(total_events, 0) as total_
 from (select distinct user_uuid from ev) left join meta using (user_uuid)
 left join listed using (user_uuid)"""),
     "flowchart_text": flowchart("app", 50, 30, 1000),
+    "flowchart_rare": flowchart(RARE_SHOWN, 50, 30, 1000),
     "flowchart_parts": flowchart("ev", 3, 720, 10),
     "ai_payload": sql(numbered("app"), repetition("ev"), payload(10_000, "app", "ev"),
                       select="select * from pay"),

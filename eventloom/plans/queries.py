@@ -37,6 +37,18 @@ def app(spark, sf_dir) -> DataFrame:
     return users.select_category(load_events(spark, sf_dir))
 
 
+def rare(spark, sf_dir) -> DataFrame:
+    """Events of a category that two thirds of the users lack, some without a name."""
+    is_rare = (F.col("user_uuid").cast("bigint") % 3 == 0) & (F.col("event_pos") % 2 == 0)
+    return users.select_category(load_events(spark, sf_dir).withColumns({
+        "category": F.when(is_rare, F.lit("Rare")).otherwise(F.col("category")),
+        "event_name": F.when(F.col("event_pos") % 5 != 0, F.col("event_name"))}), "rare")
+
+
+def everyone(spark, sf_dir) -> DataFrame:
+    return users.unique_users(load_events(spark, sf_dir))
+
+
 def numbered(events, gap_minutes=SESSION_GAP_MINUTES, max_nodes=NODES_PER_SESSION) -> DataFrame:
     return sessions.number_events(events, gap_minutes, max_nodes)
 
@@ -144,6 +156,11 @@ def user_metrics(spark, sf_dir):
     return users.user_metrics(app(spark, sf_dir))
 
 
+@query
+def user_metrics_rare(spark, sf_dir):
+    return users.user_metrics(rare(spark, sf_dir), everyone(spark, sf_dir))
+
+
 @query
 def user_event_types(spark, sf_dir):
     return users.user_event_types(load_events(spark, sf_dir))
@@ -239,6 +256,11 @@ def sessions_per_user(spark, sf_dir):
     return sessions.sessions_per_user(app(spark, sf_dir))
 
 
+@query
+def sessions_per_user_rare(spark, sf_dir):
+    return sessions.sessions_per_user(rare(spark, sf_dir), users=everyone(spark, sf_dir))
+
+
 def as_json(df, name):
     return df.withColumn(name, F.to_json(name, {"ignoreNullFields": "false"}))
 
@@ -276,6 +298,16 @@ def journey_path_parts(spark, sf_dir):
     return journeys.journey_path(numbered(app(spark, sf_dir)), FEW_ITEMS)
 
 
+@query
+def journey_path_rare(spark, sf_dir):
+    return journeys.journey_path(numbered(rare(spark, sf_dir)), FEW_ITEMS, everyone(spark, sf_dir))
+
+
+@query
+def session_path_rare(spark, sf_dir):
+    return journeys.session_path(numbered(rare(spark, sf_dir), WIDE_GAP_MINUTES), 4)
+
+
 @query
 def session_path(spark, sf_dir):
     return journeys.session_path(numbered(bursty(spark, sf_dir), WIDE_GAP_MINUTES), 4)
@@ -326,6 +358,11 @@ def flowchart_text(spark, sf_dir):
     return flowcharts.flowchart_text(events, users.unique_users(events), category="application")
 
 
+@query
+def flowchart_rare(spark, sf_dir):
+    return flowcharts.flowchart_text(rare(spark, sf_dir), everyone(spark, sf_dir))
+
+
 @query
 def flowchart_parts(spark, sf_dir):
     events = load_events(spark, sf_dir)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import texts
 from eventloom.operators import audit, flowcharts, journeys, payloads, users
-from eventloom.operators.sessions import number_events
+from eventloom.operators.sessions import number_events, sessions_per_user
 from tests.support import event
 
 D = "2026-01-05 "
@@ -87,6 +87,29 @@ def test_unnamed_events_have_transitions(spark):
     assert (step.from_event, step.to_event) == ("a", None)
 
 
+def test_unnamed_events_stay_in_charts_and_paths(spark):
+    df = event(spark, ("u", "a", D + "10:00:00"), ("u", None, D + "10:00:01"), ("u", "c", D + "10:00:02"))
+    chart = flowcharts.flowchart_text(df).first().flowchart.split("\n")
+    assert chart[1:6] == ['    N1["a"]', '    N2["(unnamed)"]', "    N1 --> N2", '    N3["c"]', "    N2 --> N3"]
+    path = journeys.journey_path(number_events(df)).first()
+    assert (path.event_count, path.path) == (3, "a -> (unnamed) -> c")
+    assert journeys.session_path(number_events(df)).first().path == "a -> (unnamed) -> c"
+
+
+def test_users_without_events_have_rows(spark):
+    df = event(spark, ("u", "a", D + "10:00:00"), ("v", "boot", D + "10:00:00", "system"),
+               (None, "a", D + "10:00:00"))
+    chosen, known = users.select_category(df), users.unique_users(df)
+    metrics = users.user_metrics(chosen, known).orderBy("user_uuid").collect()
+    assert [tuple(m) for m in metrics] == [
+        ("u", 1, 1, "2026-01-05 10:00:00.000000", "2026-01-05 10:00:00.000000", 1), ("v", 0, 0, None, None, 0)]
+    counts = sessions_per_user(chosen, users=known).orderBy("user_uuid").collect()
+    assert [tuple(c) for c in counts] == [("u", 1), ("v", 0)]
+    paths = journeys.journey_path(number_events(chosen), users=known).orderBy("user_uuid").collect()
+    assert [tuple(p) for p in paths] == [("u", 1, 1, "a"), ("v", 1, 0, "No events found for this user.")]
+    assert users.user_metrics(chosen).count() == 1
+
+
 def test_record(spark):
     df = three(spark)
     numbered = number_events(df)
