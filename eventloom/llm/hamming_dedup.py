@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from eventloom.llm.byte_words import mix, shingles, text_slices
 from eventloom.llm.components import components
+from eventloom.llm.row_keys import row_key
 from eventloom.llm.storage import stored
 
 SYMBOLS, CHUNKS = 64, 16
@@ -270,7 +271,7 @@ def _across(files: DataFrame, block_rows: int, around: bool) -> DataFrame:
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
-                       F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("row_key"))
+                       row_key(F.col(id_col).cast("string"), F.col(text_col)).alias("row_key"))
 
 
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", width: int = SHINGLE_WORDS,
@@ -339,5 +340,5 @@ def without_near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -
     judged = near_duplicates(docs, id_col, text_col)
     kept = judged.groupBy("component").agg(F.min(F.struct(
         F.col("doc_id").isNull(), "doc_id", "row_key"))["row_key"].alias("_key"))
-    rows = docs.withColumn("_key", F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)))
+    rows = docs.withColumn("_key", row_key(F.col(id_col).cast("string"), F.col(text_col)))
     return rows.join(kept.select("_key"), "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from eventloom.llm.row_keys import row_key
 from eventloom.llm.storage import stored
 
 LINE, PARAGRAPH = "\n", "\n\n"
@@ -29,7 +30,7 @@ def normalised(unit: str) -> str:
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
-        F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("row_key"))
+        row_key(F.col(id_col).cast("string"), F.col(text_col)).alias("row_key"))
 
 
 def _units(keyed: DataFrame, separator: str) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from eventloom.llm.prefix_sums import running_totals
+from eventloom.llm.row_keys import row_key
 from eventloom.llm.storage import stored
 
 #: Words per slot, about.
@@ -108,7 +109,7 @@ def mix_sources(docs: DataFrame, id_col="doc_id", text_col="text", source_col="s
     rows that repeat are documents of their own."""
     sized = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"),
-        F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(source_col), F.col(text_col)).alias("row_key"))
+        row_key(F.lit(seed), F.col(id_col).cast("string"), F.col(source_col), F.col(text_col)).alias("row_key"))
     # Every later step needs the sizes alone: count the words of the texts once.
     sized = stored(sized, "mix-sizes")
     targets = source_targets(sized)
