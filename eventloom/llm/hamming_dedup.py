@@ -10,9 +10,9 @@ therefore filed under 4 keys per chunk, the chunk with one symbol left out.
 Links are confirmed on the full shingle sets. Equal sets are one class from the start. Files
 are compared with their smallest member first, large ones then with their likely origin; last,
 only members that are not yet in one component are, so a large group of copies costs a few
-comparisons a member. In this last step a longer signature, 512 symbols of 8 bits, tells pairs
-of about 0.5 to 0.65 from those near 0.75 before a pair leaves its file: of 0.75, fewer than 340
-symbols agree with a probability below 0.00001.
+comparisons a member. In this last step the shingles of each set are counted in 1024 buckets of
+their hashes: two sets share at most the sum of the lesser counts, so a pair that this bound puts
+below the threshold is no link and need not leave its file. The bound never drops a link.
 """
 
 from __future__ import annotations
@@ -39,38 +39,47 @@ BLOCK_ROWS = 512
 #: Members from which on a group looks for its likely origin first.
 AROUND_ROWS = 12
 
-#: The longer signature, and how many of its symbols agree at least.
-LONG_SYMBOLS, LEAST_EQUAL = 512, 340
+#: Buckets in which the shingles of a set are counted, and the count that stands for all above.
+BUCKETS, FULL = 1024, 255
 
-_ORDERS = SYMBOLS + LONG_SYMBOLS
-_TURNS = (mix(np.arange(1, _ORDERS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
-_FACTORS = (mix(np.arange(10_001, _ORDERS + 10_001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_TURNS = (mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
+_FACTORS = (mix(np.arange(10_001, SYMBOLS + 10_001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
-def signatures(values: np.ndarray, begin: np.ndarray, orders: range = range(SYMBOLS), kind=np.uint16) -> np.ndarray:
+def signatures(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """One row of symbols per set; the sets lie one after another and none is empty."""
     high = (values >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(begin), len(orders)), kind)
-    unused = np.uint64(64 - 8 * out.itemsize)
-    for place, k in enumerate(orders):
+    out = np.empty((len(begin), SYMBOLS), np.uint16)
+    for k in range(SYMBOLS):
         least = np.minimum.reduceat((high ^ _TURNS[k]) * _FACTORS[k], begin)
-        out[:, place] = (mix(least.astype(np.uint64)) >> unused).astype(kind)
+        out[:, k] = (mix(least.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
     return out
 
 
-def long_signatures(texts: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
-    """(node, long_signature) from (node, text); no text is without words."""
+def bucket_counts(texts: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
+    """(node, buckets) from (node, text): different shingles per bucket, one byte each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            signed = []
+            counted = []
             for _, _, data, offsets in text_slices(batch.column(1)):
                 values, first = shingles(data, offsets, width)
-                signed.extend(row.tobytes() for row in signatures(
-                    values, first[:-1], range(SYMBOLS, _ORDERS), np.uint8))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed, pa.binary())],
-                                             names=["node", "long_signature"])
+                for low, high in zip(first[:-1], first[1:]):
+                    places = (np.unique(values[low:high]) % np.uint64(BUCKETS)).astype(np.int64)
+                    counts = np.bincount(places, minlength=BUCKETS)
+                    counted.append(np.minimum(counts, FULL).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counted, pa.binary())],
+                                             names=["node", "buckets"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, long_signature binary")
+    return texts.select("node", "text").mapInArrow(run, "node long, buckets binary")
+
+
+def may_link(buckets: np.ndarray, sizes: np.ndarray, other: np.ndarray, size: int) -> np.ndarray:
+    """Whether sets can be similar enough to another, from their bucket counts and sizes. Exact in one
+    direction: a pair it rules out is no link."""
+    least = np.minimum(buckets, other)
+    common = least.sum(1, dtype=np.int64)
+    # Where both counts are full the lesser one is not known.
+    return (least == FULL).any(1) | (100 * common >= SIMILARITY_PERCENT * (sizes + size - common))
 
 
 PROFILE = T.StructType().add("row_key", "long").add("n_shingles", "long").add("digest", "binary").add(
@@ -198,18 +207,18 @@ def _across(files: DataFrame, block_rows: int, around: bool) -> DataFrame:
     """(a, b): pairs within a file, of different components, whose signatures are close enough.
 
     Rows: (key, slot, n, leader, node, component, signature, n_shingles), without ``around`` also
-    long_signature. A file is cut into blocks of bounded size and each pair of blocks is compared by
+    buckets. A file is cut into blocks of bounded size and each pair of blocks is compared by
     itself, so a large file is many tasks' work. Pairs with the file's leader were compared
     before. With ``around``, the large groups alone, and in them only pairs with the member nearest to
     the most frequent symbols, the likely origin of the others; without, all pairs, each in the
     first file that holds it. The sizes of a pair always allow a link."""
-    long = [] if around else ["long_signature"]
+    counted = [] if around else ["buckets"]
     blocks = F.ceil(F.col("n") / F.lit(block_rows)).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     placed = files.withColumn("blocks", blocks).withColumn("own", own).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("key", "slot", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
-                           "own", "leader", "node", "component", "signature", "n_shingles", *long)
+                           "own", "leader", "node", "component", "signature", "n_shingles", *counted)
 
     def compare(group: pa.Table) -> pa.RecordBatch | None:
         node, component = group["node"].to_numpy(), group["component"].to_numpy()
@@ -231,7 +240,7 @@ def _across(files: DataFrame, block_rows: int, around: bool) -> DataFrame:
             return pa.RecordBatch.from_arrays(
                 [pa.array(np.minimum(node[near], node[origin])), pa.array(np.maximum(node[near], node[origin]))],
                 names=["a", "b"])
-        longer = np.frombuffer(b"".join(group["long_signature"].to_pylist()), np.uint8).reshape(-1, LONG_SYMBOLS)
+        buckets = np.frombuffer(b"".join(group["buckets"].to_pylist()), np.uint8).reshape(-1, BUCKETS)
         for k in np.flatnonzero(free):
             ahead = free & (component != component[k]) & (node > node[k]) & _sizes_allow(size, size[k])
             if cross:
@@ -240,7 +249,7 @@ def _across(files: DataFrame, block_rows: int, around: bool) -> DataFrame:
             if len(ahead):
                 near = ahead[(symbols[ahead] != symbols[k]).sum(1) <= MOST_ERRORS]
                 near = near[~_shared_before(symbols[near], symbols[k], slot)]
-                near = near[(longer[near] == longer[k]).sum(1) >= LEAST_EQUAL]
+                near = near[may_link(buckets[near], size[near], buckets[k], size[k])]
                 a.extend([int(node[k])] * len(near))
                 b.extend(node[near].tolist())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -317,7 +326,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", width: in
         across = placed.join(mixed, "key").join(classes, "node")
         if not around:
             unsettled = texts.join(placed.join(mixed, "key").select("node").distinct(), "node", "left_semi")
-            across = across.join(stored(long_signatures(unsettled, width), "neardup-long"), "node")
+            across = across.join(stored(bucket_counts(unsettled, width), "neardup-buckets"), "node")
         more = confirmed(_across(across, block_rows, around), texts, width)
         links = stored(links.unionByName(more), "neardup-links")
     linked = stored(components(links, "neardup-components"), "neardup-components")

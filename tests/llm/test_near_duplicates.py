@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from eventloom.llm import hamming_dedup
 from eventloom.llm.components import components
-from tests.llm.support import documents, plain_components, texts
+from tests.llm.support import documents, plain_components, shingle_set, texts
 
 
 def judged(frame, **options):
@@ -65,6 +65,23 @@ def test_every_signature_within_the_threshold_shares_a_key(spark):
     assert all(len(v) == 64 for v in by_node.values())
 
 
+def test_no_link_is_ruled_out_before_it_is_compared(spark):
+    """Pairs just at the threshold, among them long ones whose buckets overflow."""
+    draw, values = random.Random(11), []
+    for size in (7, 28, 70, 700, 7_000, 350_000):
+        base = [f"w{draw.randint(0, 10 ** 9)}" for _ in range(size + 4)]
+        # 6 of 7 shingles are common: 6 / 8 of the union.
+        values += [" ".join(base), " ".join(base[size // 7:] + [f"v{draw.randint(0, 10 ** 9)}" for _ in range(size // 7)])]
+    rows = hamming_dedup.bucket_counts(spark.createDataFrame(list(enumerate(values)), "node long, text string")).collect()
+    counts = {r.node: np.frombuffer(r.buckets, np.uint8) for r in rows}
+    for k in range(0, len(values), 2):
+        a, b = (shingle_set(v) for v in values[k:k + 2])
+        assert 100 * len(a & b) == 75 * len(a | b)
+        assert hamming_dedup.may_link(counts[k][None, :], np.array([len(a)]), counts[k + 1], len(b)).all()
+    far = hamming_dedup.may_link(counts[6][None, :], np.array([700]), counts[5], 70)
+    assert not far.any() and (counts[10] == 255).any()
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (7, 7)], "a long, b long")
     found = {r.node: r.component for r in components(links).collect()}
