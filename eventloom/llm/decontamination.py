@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from eventloom.llm.byte_words import (
     LETTERS_DIGITS, LOWER, PLACE_VALUES, mix, prefix_hashes, span_hashes, text_slices, word_spans)
+from eventloom.llm.prefix_sums import running_totals
 from eventloom.llm.storage import stored
 
 WINDOW = 13
@@ -28,6 +29,8 @@ SEGMENT = 400
 #: Benchmark words whose tables one search holds; larger benchmarks are searched in parts.
 WORDS_PER_PART = 2_000_000
 TABLE_BITS = 20
+#: The words of ``normal_words`` as a pattern.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def normal_words(texts: pa.Array):
@@ -152,6 +155,32 @@ def _searched(docs: DataFrame, items: list[tuple[str, str]], window: int) -> Dat
     return docs.mapInArrow(run, docs.schema)
 
 
+def _in_parts(items: DataFrame, window: int, words_per_part: int) -> tuple[DataFrame, int]:
+    """(item, words, part) of distinct items and the number of parts, none of which holds more than about
+    twice ``words_per_part`` words (or two windows).
+
+    Longer items are cut into stretches that share a window less a word, so that each of their
+    windows is in exactly one stretch; all stretches are at least a window long."""
+    stretch = max(words_per_part, 2 * window)
+    items = items.distinct().withColumn("size", F.regexp_count("words", F.lit(WORD)).cast("long"))
+    total = items.agg(F.sum("size")).first()[0] or 0
+    if total <= words_per_part:
+        return items.select("item", "words", F.lit(0).alias("part")), 1
+    step = stretch - window + 1
+    long = items.filter(F.col("size") > stretch).select(
+        "item", F.regexp_extract_all("words", F.lit(f"({WORD})"), F.lit(1)).alias("list"), "size")
+    cut = long.withColumn("at", F.explode(F.sequence(
+        F.lit(1).cast("long"), F.col("size") - (window - 1), F.lit(step).cast("long")))).select(
+        "item", F.array_join(F.slice("list", F.col("at").cast("int"), F.lit(stretch)), " ").alias("words"),
+        F.least(F.lit(stretch).cast("long"), F.col("size") - F.col("at") + 1).alias("size"))
+    pieces = items.filter(F.col("size") <= stretch).unionByName(cut.distinct())
+    pieces = pieces.withColumn("place", F.pmod(F.xxhash64("item", "words"), F.lit(1 << 48)))
+    placed = running_totals(stored(pieces, "decontamination-items"), [], "place", ["item", "words"], "size", "before")
+    placed = placed.select("item", "words", F.floor(F.col("before") / words_per_part).alias("part"))
+    placed = stored(placed, "decontamination-parts")
+    return placed, placed.agg(F.max("part")).first()[0] + 1
+
+
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id",
                    item_text_col="text", window: int = WINDOW, words_per_part: int = WORDS_PER_PART) -> DataFrame:
     """(id, text, n_words, hits, items) of every document.
@@ -162,10 +191,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_
     share an id count as one. Rows of documents that repeat are searched each."""
     items = benchmark.filter(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(
         F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("words"))
-    rough = F.regexp_count(F.lower("words"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
-    total = items.agg(F.sum(rough)).first()[0] or 0
-    parts = max(1, -(-total // words_per_part))
-    items = items.withColumn("part", F.pmod(F.xxhash64("item", "words"), F.lit(parts)))
+    items, parts = _in_parts(items, window, words_per_part)
     frame = docs.select(
         F.col(id_col), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"),
         F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"))

@@ -38,6 +38,24 @@ def test_equals_plain_search(spark, words_per_part):
     assert found == plain_contamination(list(enumerate(docs)), list(enumerate(bench)))
 
 
+def test_no_part_holds_more_than_its_words(spark, monkeypatch):
+    draw, held, searched = random.Random(9), [], decontamination._searched
+    long = " ".join(draw.choice("abcdé") + str(draw.randint(0, 99)) for _ in range(1000))
+    bench = ["copy " * 20] * 60 + [long, "É İ K", "a b"]
+    docs = [long, " ".join(long.split()[90:140]), "copy " * 13, "x É İ K y", "a c", None]
+
+    def noted(frame, rows, window):
+        held.append(sum(len(words.split()) for _, words in rows))
+        return searched(frame, rows, window)
+
+    monkeypatch.setattr(decontamination, "_searched", noted)
+    rows = spark.createDataFrame([(min(k, 60) if k < 60 else k, t) for k, t in enumerate(bench)], "item_id long, text string")
+    rows = rows.unionByName(spark.createDataFrame([(7, bench[0])] * 60, rows.schema))
+    found = judged(texts(spark, docs), rows, words_per_part=400)
+    assert found == plain_contamination(list(enumerate(docs)), [(r.item_id, r.text) for r in rows.collect()])
+    assert len(held) > 2 and max(held) <= 800
+
+
 def test_real_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
