@@ -27,13 +27,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages of 200 bytes go from the texts; a document of which nothing but white
-    space is left goes with them."""
+    """Repeated passages of 200 bytes go from the texts; a document of which nothing is left stays,
+    with an empty text."""
     cleaned = suffix_dedup.without_repeats(docs)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    gone = (F.col("n_removed") > 0) & ~F.coalesce(F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    kept = cleaned.filter(~gone).withColumn("text", text)
-    return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    return cleaned.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
