@@ -103,10 +103,49 @@ select doc_id, len(s)::bigint as n_shingles, component_id, doc_id = component_id
 from sets join least using (doc_id)
 """
 
+HARD_NEGATIVES = """
+with whole as (
+  select row_number() over () as row_no, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)) as parts from embeddings
+  where embedding is not null and label is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0
+), sized as (
+  select row_no, vec_id, label, list_resize(parts, (select max(len(parts)) from whole), 0.0) as parts from whole
+), scored as (
+  select a.row_no as anchor_row, a.vec_id as anchor_id, b.row_no, b.vec_id, a.label = b.label as alike,
+         list_inner_product(a.parts, b.parts)::bigint as score
+  from sized a join sized b on a.vec_id % 100 = 0 and a.row_no <> b.row_no
+), positives as (
+  select anchor_row, anchor_id, row_no as positive_row, vec_id as positive_id, score as positive_score from (
+    select *, row_number() over (partition by anchor_row order by score desc, vec_id, row_no) as place
+    from scored where alike) where place <= 5
+)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from (
+  select p.anchor_id, p.positive_id, s.vec_id as negative_id, p.positive_score, s.score as negative_score,
+         row_number() over (partition by p.anchor_row, p.positive_row order by s.score desc, s.vec_id, s.row_no) as rank
+  from positives p join scored s on s.anchor_row = p.anchor_row and not s.alike
+    and 80 * p.positive_score <= 100 * s.score and s.score <= p.positive_score
+) where rank <= 5
+"""
+
+EXACT_COPIES = r"""
+with plain as (
+  select row_number() over () as row_no, doc_id, length(coalesce(text, '')) as chars,
+         regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as content from documents
+), judged as (
+  select doc_id, content, count(*) over (partition by content) as group_size,
+         first_value(doc_id) over best as keep_id, row_number() over best = 1 as kept
+  from plain window best as (partition by content order by chars desc, doc_id nulls last, row_no)
+)
+select doc_id, keep_id, group_size, kept, sha256(content) as text_sha256 from judged
+"""
+
 SQL = {
     "op1_exact_topk": TOPK,
     "op3_url_lists": URL_LISTS,
     "op5_near_duplicates": NEAR_DUPLICATES,
     "op7_warc_bundles": WARC,
     "op10_line_dedup": LINE_DEDUP,
+    "op12_hard_negatives": HARD_NEGATIVES,
+    "op13_exact_copies": EXACT_COPIES,
 }
