@@ -9,7 +9,7 @@ rows; salts follow the task that read a row, so that a task sends one row per di
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from eventloom.llm.storage import stored
 
@@ -42,11 +42,15 @@ def tagged_rows(docs: DataFrame, id_col="doc_id", text_col="text", digest=conten
         "copies-rows")
 
 
-def crowded_digests(rows: DataFrame, shares=SHARES) -> DataFrame:
+def repeated_digests(rows: DataFrame) -> DataFrame:
+    """(digest, total) of the digests that occur more than once."""
+    return stored(rows.groupBy("digest").agg(F.count("*").alias("total")).filter("total > 1"), "copies-digests")
+
+
+def crowded_digests(repeated: DataFrame, count: int, shares=SHARES) -> DataFrame:
     """(digest, salts) of the digests with more than one salt: at most ``shares`` / 2 rows."""
-    share = F.floor(F.col("n") * shares / F.lit(max(1, rows.count()))).cast("int")
-    return stored(rows.groupBy("digest").agg(F.count("*").alias("n")).select(
-        "digest", share.alias("salts")).filter("salts > 1"), "copies-crowded")
+    share = F.floor(F.col("total") * shares / F.lit(max(1, count))).cast("int")
+    return repeated.select("digest", share.alias("salts")).filter("salts > 1")
 
 
 def with_salts(rows: DataFrame, crowded: DataFrame, spread_by: Column) -> DataFrame:
@@ -55,9 +59,9 @@ def with_salts(rows: DataFrame, crowded: DataFrame, spread_by: Column) -> DataFr
     return joined.withColumn("salt", F.pmod(F.xxhash64(spread_by), F.col("salts")).cast("int"))
 
 
-def copy_classes(rows: DataFrame, crowded: DataFrame) -> DataFrame:
-    """(digest, content, contents, best, n): the texts that occur more than once, and all texts of
-    a digest that has several (``contents`` > 1; only there is ``content`` given).
+def copy_classes(rows: DataFrame, repeated: DataFrame, crowded: DataFrame) -> DataFrame:
+    """(digest, content, best, n): the texts that occur more than once, and all texts of a crowded
+    digest. ``content`` is given only where the digest has further texts.
 
     ``best``: most code points, then smallest id (null last), then smallest row number."""
     best = F.struct((-F.col("chars")).alias("chars"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_no")
@@ -66,32 +70,28 @@ def copy_classes(rows: DataFrame, crowded: DataFrame) -> DataFrame:
     # Each task combines its own rows before the exchange; this is the local step.
     by_salt = (
         salted.select("digest", "salt", "salts", normalised(F.col("text")).alias("content"), best.alias("best"))
-        .groupBy("digest", "salt", "salts", "content")
-        .agg(F.min("best").alias("best"), F.count("*").alias("n"))
-        .withColumn("contents", F.count("*").over(Window.partitionBy("digest", "salt", "salts"))))
+        .groupBy("digest", "salt", "salts", "content").agg(F.min("best").alias("best"), F.count("*").alias("n")))
     # A text that is alone under a digest with one salt has no copies anywhere.
-    open_ = stored(by_salt.filter("n > 1 or contents > 1 or salts > 1").select("digest", "content", "best", "n"),
-                   "copies-salted")
-    whole = (
-        open_.groupBy("digest", "content").agg(F.min("best").alias("best"), F.sum("n").alias("n"))
-        .withColumn("contents", F.count("*").over(Window.partitionBy("digest"))))
-    return stored(whole.select("digest", F.when(F.col("contents") > 1, F.col("content")).alias("content"),
-                               "contents", "best", "n"), "copies-classes")
+    open_ = stored(by_salt.filter("n > 1 or salts > 1").select("digest", "content", "best", "n"), "copies-salted")
+    whole = open_.groupBy("digest", "content").agg(F.min("best").alias("best"), F.sum("n").alias("n"))
+    several = F.col("n") < F.col("total")
+    return stored(whole.join(repeated, "digest").select(
+        "digest", F.when(several, F.col("content")).alias("content"), "best", "n"), "copies-classes")
 
 
 def judged_rows(rows: DataFrame, crowded: DataFrame, classes: DataFrame) -> DataFrame:
     """The rows with ``keep_id``, ``group_size`` and ``kept``. Rows meet their class by digest, a
     crowded digest in as many places as it has salts; under digests of several texts the texts
     are compared."""
-    several = classes.filter("contents > 1")
+    several = classes.filter("content is not null")
     crossed = several.select("digest").distinct()
     plain = with_salts(rows.join(crossed, "digest", "left_anti"), crowded, F.col("row_no"))
-    places = classes.filter("contents = 1").select("digest", "best", "n").join(
+    places = classes.filter("content is null").select("digest", "best", "n").join(
         F.broadcast(crowded), "digest", "left").withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
     plain = plain.join(places, ["digest", "salt"], "left").drop("salts", "salt")
     mixed = rows.join(crossed, "digest", "left_semi").withColumn("content", normalised(F.col("text"))).join(
-        several.select("digest", "content", "best", "n"), ["digest", "content"]).drop("content")
+        several, ["digest", "content"], "left").drop("content")
     alone = F.col("best").isNull()
     return plain.unionByName(mixed).select(
         *[c for c in rows.columns],
@@ -102,8 +102,9 @@ def judged_rows(rows: DataFrame, crowded: DataFrame, classes: DataFrame) -> Data
 
 def _judged(docs, id_col, text_col, digest, shares, *more):
     rows = tagged_rows(docs, id_col, text_col, digest)
-    crowded = crowded_digests(rows, shares)
-    classes = copy_classes(rows, crowded)
+    repeated = repeated_digests(rows)
+    crowded = crowded_digests(repeated, rows.count(), shares)
+    classes = copy_classes(rows, repeated, crowded)
     return judged_rows(rows.select("row_no", "doc_id", "digest", "text", *more), crowded, classes)
 
 

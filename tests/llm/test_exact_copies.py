@@ -65,5 +65,5 @@ def test_no_rows(spark):
 def test_one_crowded_digest_spreads(spark):
     """Salts follow the size of the group, and only few digests can have several."""
     rows = documents(spark, [(k, "same" if k % 3 else str(k), None, None, None) for k in range(3000)])
-    crowded = ec.crowded_digests(ec.tagged_rows(rows)).collect()
+    crowded = ec.crowded_digests(ec.repeated_digests(ec.tagged_rows(rows)), 3000).collect()
     assert [r.salts for r in crowded] == [2000 * ec.SHARES // 3000]
