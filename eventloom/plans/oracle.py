@@ -497,3 +497,6 @@ from (
 join (select user_uuid, part, cast(json_array_length(body, '$.key_observations') as bigint)
   as observation_count from parsed where is_structured) using (user_uuid, part)"""),
 }
+
+# A stream run to its end gives what the batch operator gives.
+SQL |= {"stream_bursts": SQL["dedup_clean"], "stream_sessions": SQL["session_summary"]}

@@ -7,8 +7,10 @@ from eventloom.functions import texts, times
 from eventloom.operators import (
     audit, cleaning, flowcharts, journeys, ordering, payloads, replies, sessions, users)
 from eventloom.schema import NODES_PER_SESSION, SESSION_GAP_MINUTES
+from eventloom.sources import shared
 from eventloom.sources.sinks import with_user_key
-from eventloom.sources.tables import load_events, with_copies
+from eventloom.sources.tables import load_events, stream_events, with_copies
+from eventloom.streaming import bursts, finite, numbering
 
 WIDE_BURST_MS = 30 * 60 * 1000
 WIDE_GAP_MINUTES = 12 * 60
@@ -456,3 +458,26 @@ def ai_reply_notes(spark, sf_dir):
 def ai_reply_audit(spark, sf_dir):
     return replies.reply_audit(replies.parse_replies(made_replies(spark, sf_dir)),
                                load_events(spark, sf_dir))
+
+
+# Streams, run to their end
+
+@query
+def stream_bursts(spark, sf_dir):
+    """Burst removal over a file stream of the events and their copies, with a file sink."""
+    folder = shared.new_path(spark, "stream-bursts")
+    events = with_copies(stream_events(spark, sf_dir))
+    kept = bursts.remove_bursts_stream(finite.with_end(events, f"{folder}/end"))
+    start = lambda: finite.available_now(kept, f"{folder}/checkpoint").start(f"{folder}/kept")
+    finite.run_to_end(events, f"{folder}/end", start)
+    return without_instants(times.calendar(spark.read.schema(events.schema).parquet(f"{folder}/kept")))
+
+
+@query
+def stream_sessions(spark, sf_dir):
+    """Numbered sessions of a file stream, the numbers carried from batch to batch."""
+    folder = shared.new_path(spark, "stream-sessions")
+    events = stream_events(spark, sf_dir)
+    ended = finite.with_end(events, f"{folder}/end")
+    finite.run_to_end(events, f"{folder}/end", lambda: numbering.start_numbering(ended, folder))
+    return numbering.numbered_sessions(spark, folder)

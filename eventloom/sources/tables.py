@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from eventloom.functions import times
+from eventloom.streaming.finite import file_events
 
 # Declared, so that no file is opened to find it out. Columns not used are left out.
 EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string"
@@ -16,9 +17,18 @@ COPIES = [(0, 1, 0), (1, 3, 20_000), (2, 4, 70_000), (3, 5, 120_001)]
 
 def load_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole table in the columns the operators expect, at offset zero."""
+    return adapted(spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet"))
+
+
+def stream_events(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
+    """The same as a stream over the files of the table."""
+    return adapted(file_events(spark, f"{sf_dir}/events.parquet", EVENTS_SCHEMA, max_files))
+
+
+def adapted(table: DataFrame) -> DataFrame:
     system = F.when(F.col("event_type").isin(SYSTEM_EVENTS), F.lit("system")).otherwise(
         F.lit("Application"))
-    return shaped(spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet").select(
+    return shaped(table.select(
         F.col("user_id").cast("string").alias("user_uuid"),
         F.col("event_type").alias("event_name"),
         system.alias("category"),
