@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from eventloom.functions import times
 from eventloom.schema import BURST_MS
+from eventloom.sources.shared import in_order
 
 KEYS = ["user_uuid", "event_name"]
 
@@ -77,43 +78,26 @@ def first_of_bursts(rows: DataFrame, threshold_ms, group: list[str]) -> DataFram
     ).select(*KEYS, "_row.*")
 
 
-def event_gaps(events: DataFrame, slot_minutes: int = 10) -> DataFrame:
+def event_gaps(events: DataFrame) -> DataFrame:
     """Add ``gap_us``, the time since the previous event of the same user and
     name; null for the first one and for events without user, name or time.
 
-    Copies at one instant are first counted as one, which happens before the
-    shuffle. The remaining instants are compared within short time slots, and
-    the last instant of the previous slot is carried over, so that no window
-    spans all events of a key.
+    The events are cut into parts by their full order, which even cuts the copies of one instant.
+    Each event looks back within its part; the first of a part takes the last time of the
+    part before, one small row per user, name and part.
     """
-    slot_us = slot_minutes * 60_000_000
-    known = events.where(
-        F.col("user_uuid").isNotNull() & F.col("event_name").isNotNull()
-        & F.col("event_time").isNotNull()
-    ).select(*KEYS, F.unix_micros("event_time").alias("_us"), "event_pos")
-    slot = times.floor_to(F.col("_us"), slot_us).alias("_slot")
-
-    instants = known.groupBy(*KEYS, "_us").agg(F.min("event_pos").alias("_first_pos"))
-    in_slot = W.partitionBy(*KEYS, "_slot").orderBy("_us")
-    per_key = W.partitionBy(*KEYS).orderBy("_slot")
-    carried = (
-        known.groupBy(*KEYS, slot).agg(F.max("_us").alias("_last"))
-        .select(*KEYS, "_slot", F.lag("_last").over(per_key).alias("_carried"))
-    )
-    before = (
-        instants.select(*KEYS, "_us", "_first_pos", slot)
-        .withColumn("_before", F.lag("_us").over(in_slot))
-        .join(carried, KEYS + ["_slot"])
-        .select(*KEYS, "_us", "_first_pos", F.coalesce("_before", "_carried").alias("_before"))
-    )
-    gap = F.when(F.col("event_pos") == F.col("_first_pos"), F.col("_us") - F.col("_before"))
+    rows = in_order(events.withColumn("_us", F.unix_micros("event_time")),
+                    *[F.col(name).asc_nulls_last() for name in (*KEYS, "_us", "event_pos")])
+    lasts = rows.where(~is_keyless()).groupBy(*KEYS, "_part").agg(F.max("_us").alias("_last"))
+    carried = lasts.select(
+        *[F.col(name).alias(f"_of_{name}") for name in (*KEYS, "_part")],
+        F.lag("_last").over(W.partitionBy(*KEYS).orderBy("_part")).alias("_carried"))
+    in_part = W.partitionBy(*KEYS, "_part").orderBy("_row")
+    same = [F.col(name) == F.col(f"_of_{name}") for name in (*KEYS, "_part")]
+    gap = F.col("_us") - F.coalesce("_before", "_carried")
     return (
-        events.withColumn("_us", F.unix_micros("event_time"))
-        .join(before, KEYS + ["_us"], "left")
-        .withColumn("gap_us", F.when(F.col("_first_pos").isNotNull()
-                                     & (F.col("event_pos") != F.col("_first_pos")), F.lit(0))
-                    .otherwise(gap).cast("bigint"))
-        .select(*events.columns, "gap_us")
+        rows.withColumn("_before", F.lag("_us").over(in_part)).join(carried, same, "left")
+        .select(*events.columns, F.when(~is_keyless(), gap).cast("bigint").alias("gap_us"))
     )
 
 

@@ -1,25 +1,22 @@
 """Numbering the events of each user without one task per user.
 
-Time is cut into short slots, slots into seconds, seconds into cells: one instant, one name and
-a block of source positions. Rows are counted per cell on the map side; running totals
-then go level by level over the counts, so that no window spans more than one level of one
-user, and single rows are ordered only within a cell. Neither a heavy user nor a crowd of
-copies in one instant is a single task's work, and the same steps serve every size.
+Events are range-partitioned by their full order, which cuts a heavy user, a crowded slot and even the
+copies of one instant, and stored. Spark's row ids then number them: the upper bits are the
+partition, the lower ones the place in it. What is left to find is how many events of a user lie
+in earlier partitions, one small row per user and partition.
 """
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from eventloom.functions import times
 from eventloom.operators.cleaning import remove_bursts
+from eventloom.sources.shared import in_order
 
 SLOT_SECONDS = 600
 
 # The slot of events without a time, which come last.
 TIMELESS_FROM = 1 << 60
 
-# Source positions fall into blocks of at most so many rows, in order.
-BLOCK_BITS = 16
-
 
 def slot_seconds(gap_minutes=None) -> int:
     """Widest slot that divides a day and is not longer than the session gap, so
@@ -43,72 +40,26 @@ def slot_of(seconds: Column, width: int) -> Column:
     return F.coalesce(times.floor_to(seconds, width), F.lit(TIMELESS_FROM))
 
 
-def position_block(events: DataFrame) -> Column:
-    """Order-keeping prefix of the source position. Positions of another kind than
-    whole numbers, or structs that end in one, are one block."""
-    kind = events.schema["event_pos"].dataType
-    if isinstance(kind, T.IntegralType):
-        return F.shiftright(F.col("event_pos").cast("long"), BLOCK_BITS)
-    if isinstance(kind, T.StructType) and isinstance(kind.fields[-1].dataType, T.IntegralType):
-        *front, last = (F.col("event_pos")[name] for name in kind.names)
-        return F.struct(*front, F.shiftright(last.cast("long"), BLOCK_BITS).alias("block"))
-    return F.lit(0)
-
-
-CELL = ["_second", "_us", "_unnamed", "_name", "_block"]
-
-
-def with_cells(events: DataFrame, micros: Column) -> DataFrame:
-    """Add the columns of ``CELL``, none of them null: microseconds, name and block of positions."""
-    micros = F.coalesce(micros, F.lit(0))
-    return events.withColumns({
-        "_second": times.floor_to(micros, 1_000_000), "_us": micros,
-        "_unnamed": F.col("event_name").isNull(), "_name": F.coalesce("event_name", F.lit("")),
-        "_block": position_block(events)})
-
-
-def cell_starts(rows: DataFrame, *keys: str) -> DataFrame:
-    """One row per cell with ``_before``, the rows of its slot (``keys``) in earlier cells."""
-    cells = rows.groupBy(*keys, *CELL).agg(F.count(F.lit(1)).alias("_n"))
-    seconds = cells.groupBy(*keys, "_second").agg(F.sum("_n").alias("_n"))
-
-    def earlier(by, order):
-        window = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-        return F.coalesce(F.sum("_n").over(window), F.lit(0))
-
-    seconds = seconds.select(*keys, "_second", earlier(keys, ["_second"]).alias("_of_second"))
-    within = cells.select(*keys, *CELL, earlier([*keys, "_second"], CELL[1:]).alias("_of_cell"))
-    return within.join(seconds, [*keys, "_second"]).select(
-        *keys, *CELL, (F.col("_of_second") + F.col("_of_cell")).alias("_before"))
-
-
-def rank_in_cell(*keys: str) -> Column:
-    """1, 2, ... by source position within the cell."""
-    return F.row_number().over(W.partitionBy(*keys, *CELL).orderBy("event_pos"))
+def first_row() -> Column:
+    """Aggregate over consecutive rows."""
+    return F.min("_row").alias("_first_row")
 
 
 def timeline(events: DataFrame, threshold_ms=None) -> DataFrame:
     """Add ``sequence``, the place of each event among those of its user by
-    instant, event name and source position.
+    instant, event name and source position. Events without a user are one group.
 
     Cleaned events hold no bursts, so none are looked for unless a threshold is
     given.
     """
     if threshold_ms is not None:
         events = remove_bursts(events, threshold_ms)
-    # Rows without a user form a group of their own here.
-    key = F.coalesce(F.concat(F.lit("="), "user_uuid"), F.lit(""))
-    slotted = with_cells(events, F.unix_micros("event_time")).withColumns({
-        "_key": key, "_slot": slot_of(F.unix_seconds("event_time"), SLOT_SECONDS)})
-    earlier = W.partitionBy("_key").orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
-    slots = (
-        slotted.groupBy("_key", "_slot").agg(F.count(F.lit(1)).alias("_n"))
-        .select("_key", "_slot", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_of_slot"))
-    )
-    starts = cell_starts(slotted, "_key", "_slot").join(slots, ["_key", "_slot"])
-    # The counts stand left, all joins in one chain: a filter on the user then reaches every scan.
-    return (
-        starts.join(slotted.withColumn("_rank", rank_in_cell("_key", "_slot")), ["_key", "_slot", *CELL])
-        .select(*events.columns,
-                (F.col("_of_slot") + F.col("_before") + F.col("_rank")).alias("sequence"))
-    )
+    rows = in_order(events, *total_order("event_time"))
+    earlier = W.partitionBy("_user").orderBy("_in").rowsBetween(W.unboundedPreceding, -1)
+    pieces = rows.groupBy(F.col("user_uuid").alias("_user"), F.col("_part").alias("_in")).agg(
+        F.count(F.lit(1)).alias("_n"), first_row())
+    shifts = pieces.select("_user", "_in", (
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)) + 1 - F.col("_first_row")).alias("_shift"))
+    same = (F.col("_part") == F.col("_in")) & F.col("user_uuid").eqNullSafe(F.col("_user"))
+    return rows.join(shifts, same).select(
+        *events.columns, (F.col("_row") + F.col("_shift")).alias("sequence"))

@@ -6,11 +6,11 @@ Gaps count whole seconds, and a new day always starts a new session.
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from eventloom.functions import times
-from eventloom.operators.ordering import (
-    CELL, cell_starts, rank_in_cell, slot_of, slot_seconds, with_cells)
+from eventloom.operators.ordering import first_row, slot_of, slot_seconds, total_order
 from eventloom.operators.parts import in_sequence, part_of
 from eventloom.operators.users import with_known_users
 from eventloom.schema import ITEMS_PER_PART, NODES_PER_SESSION, SESSION_GAP_MINUTES
+from eventloom.sources.shared import in_order
 
 # Fixed value: events shown in a preview.
 PREVIEW_EVENTS = 6
@@ -22,18 +22,21 @@ def with_slot(events: DataFrame, gap_minutes) -> DataFrame:
         "_slot", slot_of(seconds, slot_seconds(gap_minutes)))
 
 
-def session_slots(events: DataFrame, gap_minutes=SESSION_GAP_MINUTES,
-                  max_nodes=NODES_PER_SESSION) -> DataFrame:
-    """One row per (user, slot) with its session and the totals before it.
+def slot_counts(rows: DataFrame, *more_keys, also=()) -> DataFrame:
+    """Events and first and last time per (user, slot)."""
+    return rows.groupBy("user_uuid", "_slot", *more_keys).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.min("event_local").alias("_first"), F.max("event_local").alias("_last"), *also)
+
+
+def session_slots(slots: DataFrame, gap_minutes=SESSION_GAP_MINUTES,
+                  max_nodes=NODES_PER_SESSION, *more_order) -> DataFrame:
+    """The rows of ``slot_counts`` with their session and the totals before it.
 
     A slot is too short to hold a session break, so the session of all its
     events follows from the first and last event of each slot.
     """
-    slots = with_slot(events, gap_minutes).groupBy("user_uuid", "_slot").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min("event_local").alias("_first"), F.max("event_local").alias("_last"))
-
-    by_slot = W.partitionBy("user_uuid").orderBy("_slot")
+    by_slot = W.partitionBy("user_uuid").orderBy("_slot", *more_order)
     so_far = by_slot.rowsBetween(W.unboundedPreceding, W.currentRow)
     whole = W.partitionBy("user_uuid")
     session = W.partitionBy("user_uuid", "session_id")
@@ -77,22 +80,19 @@ def number_events(events: DataFrame, gap_minutes=SESSION_GAP_MINUTES,
     ``session_size``      events of the session
     ``session_start``, ``session_end``  first and last time of the session
     """
-    slots = session_slots(events, gap_minutes, max_nodes).drop("_n", "_first", "_last")
-    rows = with_cells(with_slot(events, gap_minutes), times.local_micros(F.col("event_local")))
-    starts = cell_starts(rows, "user_uuid", "_slot").join(slots, ["user_uuid", "_slot"])
-    rank = F.col("_before") + F.col("_rank")
+    rows = in_order(with_slot(events, gap_minutes), *total_order("event_local"))
+    # A slot has one row here per partition it lies in.
+    keys = ["user_uuid", "_slot", "_part"]
+    slots = session_slots(slot_counts(rows, "_part", also=[first_row()]), gap_minutes, max_nodes, "_part")
+    rank = F.col("_row") - F.col("_first_row") + 1
     place = F.col("_rank_before") + rank
-    # The counts stand left, all joins in one chain: a filter on the user then reaches every scan.
-    return (
-        starts.join(rows.withColumn("_rank", rank_in_cell("user_uuid", "_slot")), ["user_uuid", "_slot", *CELL])
-        .select(
-            *events.columns,
-            (F.col("_seq_before") + rank).alias("sequence"),
-            "session_id",
-            place.alias("session_sequence"),
-            F.when(place <= max_nodes, F.col("_node_before") + rank).alias("node_sequence"),
-            "session_count", "session_size", "session_start", "session_end",
-        )
+    return rows.join(slots.drop("_n", "_first", "_last"), keys).select(
+        *events.columns,
+        (F.col("_seq_before") + rank).alias("sequence"),
+        "session_id",
+        place.alias("session_sequence"),
+        F.when(place <= max_nodes, F.col("_node_before") + rank).alias("node_sequence"),
+        "session_count", "session_size", "session_start", "session_end",
     )
 
 
@@ -106,7 +106,7 @@ def session_summary(events: DataFrame, gap_minutes=SESSION_GAP_MINUTES) -> DataF
     """Date, first and last time and number of events of every session. It needs
     the slots only, never the single events in order."""
     return (
-        session_slots(events, gap_minutes)
+        session_slots(slot_counts(with_slot(events, gap_minutes)), gap_minutes)
         .groupBy("user_uuid", "session_id")
         .agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"),
              F.sum("_n").alias("event_count"))
@@ -118,7 +118,8 @@ def session_summary(events: DataFrame, gap_minutes=SESSION_GAP_MINUTES) -> DataF
 def sessions_per_user(events: DataFrame, gap_minutes=SESSION_GAP_MINUTES,
                       users: DataFrame | None = None) -> DataFrame:
     """Number of sessions; with users, also for those who have no events, with 0."""
-    counts = session_slots(events, gap_minutes).groupBy("user_uuid").agg(
+    slots = slot_counts(with_slot(events, gap_minutes))
+    counts = session_slots(slots, gap_minutes).groupBy("user_uuid").agg(
         F.max("session_id").alias("session_count"))
     return with_known_users(counts, users, ["session_count"])
 

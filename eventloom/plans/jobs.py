@@ -10,12 +10,14 @@ from eventloom.schema import (
     BURST_MS, NODES_PER_SESSION, REPETITION_SCHEMA, SESSION_GAP_MINUTES, USERS_SCHEMA)
 from eventloom.session import fit_shuffles, keeps_shuffles
 from eventloom.sources import readers, sinks
+from eventloom.sources.shared import drops_intermediate
 
 #: Folders the users are hashed into; None gives each user one, which suits few users only.
 USER_BUCKETS = 256
 
 
 @keeps_shuffles
+@drops_intermediate
 def clean(spark: SparkSession, source: str, target: str, threshold_ms=BURST_MS,
           fmt: str = "parquet", buckets: int | None = USER_BUCKETS, per_user: bool = True) -> None:
     """Raw CSV to cleaned events, repetition summary, user list and count, and
@@ -31,6 +33,7 @@ def clean(spark: SparkSession, source: str, target: str, threshold_ms=BURST_MS,
 
 
 @keeps_shuffles
+@drops_intermediate
 def timeline(spark: SparkSession, source: str, target: str, threshold_ms=None,
              fmt: str = "parquet", buckets: int | None = USER_BUCKETS, per_user: bool = True) -> None:
     """Cleaned events to a table in time order, with the same reports over it."""
@@ -62,6 +65,7 @@ def read_events(spark, path, fmt, made_by):
 
 
 @keeps_shuffles
+@drops_intermediate
 def analyse(spark: SparkSession, source: str, target: str, instruction: str,
             category: str = "application", gap_minutes=SESSION_GAP_MINUTES,
             max_nodes=NODES_PER_SESSION) -> None:

@@ -1,11 +1,12 @@
 """Intermediate tables and stream state in the folder all executors share."""
 
 import atexit
+import functools
 import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _local_folders = {}
 _made = {}
@@ -43,10 +44,36 @@ def stored(frame: DataFrame, label: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
-def drop_intermediate(spark: SparkSession) -> None:
-    """Remove all intermediate tables of this application. Only when the results that read them are
-    written."""
+def in_order(events: DataFrame, *order) -> DataFrame:
+    """The events, stored in order over all files, with ``_row``, which grows in that order and has
+    no gaps within a ``_part``.
+
+    Stored, since row ids depend on how the events fell into partitions: what is counted and what
+    is numbered must be the same partitions, also after a lost executor."""
+    rows = events.repartitionByRange(*order).sortWithinPartitions(*order)
+    return stored(rows.withColumns({
+        "_row": F.monotonically_increasing_id(), "_part": F.spark_partition_id()}), "in-order")
+
+
+def drops_intermediate(job):
+    """For a job that takes the session first and writes all its results: the intermediate tables made
+    inside go at its end."""
+    @functools.wraps(job)
+    def run(spark: SparkSession, *args, **options):
+        before = len(_made.get(spark.sparkContext.applicationId, []))
+        try:
+            return job(spark, *args, **options)
+        finally:
+            drop_intermediate(spark, before)
+
+    return run
+
+
+def drop_intermediate(spark: SparkSession, first: int = 0) -> None:
+    """Remove the intermediate tables of this application from the ``first`` on."""
     configuration = spark.sparkContext._jsc.hadoopConfiguration()
-    for name in _made.pop(spark.sparkContext.applicationId, []):
+    made = _made.get(spark.sparkContext.applicationId, [])
+    while len(made) > first:
+        name = made.pop()
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(configuration).delete(path, True)

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import Window as W, functions as F
 
-from eventloom.operators import cleaning, sessions
+from eventloom.operators import cleaning, ordering, sessions
 from eventloom.plans.queries import QUERIES
 from eventloom.sources.tables import load_events
 from tests.support import TESTDATA, spark_rows
@@ -42,6 +42,27 @@ def test_user_filter_reaches_every_scan(spark, tmp_path):
         assert filters and all("EqualTo(user_uuid,3)" in f for f in filters)
 
 
+def test_numbering_reads_its_source_once(spark, tmp_path):
+    """The source is range-partitioned once and stored in order; what is returned reads that twice, and
+    beside the range exchange there are the counts, the order of a user's slots and the join."""
+    events = stored(spark, tmp_path)
+    source = str(tmp_path)
+    for df in (sessions.number_events(events), ordering.timeline(events), cleaning.event_gaps(events)):
+        text = plan(df)
+        assert text.count("Exchange") <= 4 and "SortAggregate" not in text
+        assert text.count("FileScan") == 2 and source not in text
+    slots = sessions.slot_counts(sessions.with_slot(events, 30))
+    assert plan(slots).count("FileScan") == 1
+
+
+def test_numbered_copies_keep_one_version(spark):
+    """Row ids that would differ in a second reading are read from the stored table."""
+    events = load_events(spark, SF_DIR)
+    mixed = sessions.number_events(events.repartition(5, F.rand()))
+    assert mixed.exceptAll(sessions.number_events(events)).count() == 0
+    assert mixed.exceptAll(mixed).count() == 0
+
+
 def test_summary_reads_only_what_it_needs(spark, tmp_path):
     text = plan(sessions.session_summary(stored(spark, tmp_path)))
     schema = re.search(r"ReadSchema: struct<([^>]*)>", text).group(1)
@@ -50,11 +71,14 @@ def test_summary_reads_only_what_it_needs(spark, tmp_path):
 
 
 def test_event_filter_stays_above_sessions(spark, tmp_path):
-    """Sessions depend on all events, so a filter on the name must not move
-    below; the burst rule compares equal names only, so there it may."""
+    """Sessions depend on all events, so a filter on the name reaches the numbered rows but not what
+    they are counted from; the burst rule compares equal names only, so there it may."""
     events = stored(spark, tmp_path)
     by_name = "event_name = 'click'"
-    assert not any("click" in f for f in pushed(sessions.number_events(events).where(by_name)))
+    numbered = sessions.number_events(events)
+    assert sorted("click" in f for f in pushed(numbered.where(by_name))) == [False, True]
+    clicks = [r for r in numbered.collect() if r.event_name == "click"]
+    assert sorted(clicks, key=str) == sorted(numbered.where(by_name).collect(), key=str)
     assert all("click" in f for f in pushed(cleaning.remove_bursts(events).where(by_name)))
 
 

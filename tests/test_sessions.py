@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventloom.operators import ordering, sessions
+from eventloom.sources import shared
 from tests.support import event
 
 D = "2026-01-05 "
@@ -119,9 +120,8 @@ def test_same_sessions_as_session_windows(spark):
     assert built_in.count() == sessions.session_summary(events).count()
 
 
-def test_copies_and_rows_without_time_are_numbered_in_order(spark, monkeypatch):
-    """Unnamed copies crowd one slot of one user; cells are blocks of their positions."""
-    monkeypatch.setattr(ordering, "BLOCK_BITS", 6)
+def test_copies_and_rows_without_time_are_numbered_in_order(spark):
+    """Unnamed copies crowd one instant of one user; even they are cut into parts."""
     n = 4000
     row = F.col("id")
     micros = F.lit(1_767_600_000_000_000) + F.when(row % 3 > 0, 0).otherwise(row * 2_000_000)
@@ -135,13 +135,22 @@ def test_copies_and_rows_without_time_are_numbered_in_order(spark, monkeypatch):
         "event_time": F.lit(None).cast("timestamp"),
         "event_local": F.lit(None).cast("timestamp_ntz"), "event_pos": F.col("event_pos") + n})
     events = events.unionByName(timeless)
-    cells = ordering.with_cells(sessions.with_slot(events, 30), F.unix_micros("event_time"))
-    assert cells.groupBy("_slot", *ordering.CELL).count().agg(F.max("count")).first()[0] <= 64
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = shared.in_order(events, *ordering.total_order("event_time")).groupBy("_part").count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(parts) == 4 and max(r["count"] for r in parts) < 1.5 * events.count() / 4
     order = sorted(events.collect(), key=lambda r: (
         r.event_local is None, r.event_local, r.event_name is None, r.event_name or "", r.event_pos)
         if r.event_local else (True, 0, r.event_name is None, r.event_name or "", r.event_pos))
     expected = {r.event_pos: place for place, r in enumerate(order, 1)}
-    for numbered in (sessions.number_events(events), ordering.timeline(events)):
-        assert {r.event_pos: r.sequence for r in numbered.collect()} == expected
+    for coalesce in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+        try:
+            for numbered in (sessions.number_events(events), ordering.timeline(events)):
+                assert {r.event_pos: r.sequence for r in numbered.collect()} == expected
+        finally:
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     by_struct = events.withColumn("event_pos", F.struct(F.lit("f").alias("file"), "event_pos"))
     assert {r.event_pos.event_pos: r.sequence for r in ordering.timeline(by_struct).collect()} == expected
