@@ -1,4 +1,4 @@
-"""Command line: ``python -m eventloom clean|timeline|analyse SOURCE TARGET``."""
+"""Command line: ``python -m eventloom clean|timeline|analyse|replies SOURCE TARGET``."""
 
 import argparse
 
@@ -8,7 +8,7 @@ from eventloom.session import get_session
 
 def main():
     parser = argparse.ArgumentParser(prog="eventloom")
-    parser.add_argument("job", choices=["clean", "timeline", "analyse"])
+    parser.add_argument("job", choices=["clean", "timeline", "analyse", "replies"])
     parser.add_argument("source")
     parser.add_argument("target")
     parser.add_argument("--format", default="parquet", choices=["parquet", "csv"])
@@ -18,10 +18,15 @@ def main():
                         help="longest gap inside a burst (clean, timeline)")
     parser.add_argument("--instruction", default="Describe what this user did.",
                         help="text put before every payload (analyse)")
+    parser.add_argument("--events", help="folder of the clean job that replies are held against (replies)")
     args = parser.parse_args()
+    if args.job == "replies" and args.events is None:
+        parser.error("replies needs --events")
     spark = get_session(f"eventloom-{args.job}")
     if args.job == "analyse":
         jobs.analyse(spark, args.source, args.target, args.instruction)
+    elif args.job == "replies":
+        jobs.replies(spark, args.source, args.events, args.target)
     else:
         job = jobs.clean if args.job == "clean" else jobs.timeline
         chosen = {} if args.threshold_ms is None else {"threshold_ms": args.threshold_ms}

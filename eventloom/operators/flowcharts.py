@@ -33,15 +33,14 @@ def flowchart_text(events: DataFrame, users: DataFrame | None = None,
     if category is not None:
         events = select_category(events, category)
     charts = flowcharts(number_events(events, gap_minutes, max_nodes))
-    return charts if users is None else with_empty_charts(charts, events, users)
+    return charts if users is None else with_empty_charts(charts, users)
 
 
-def with_empty_charts(charts: DataFrame, events: DataFrame, users: DataFrame) -> DataFrame:
-    """Add the placeholder chart of the users without events."""
-    no_events = known_users(users).join(
-        events.select("user_uuid").distinct(), "user_uuid", "left_anti")
-    return charts.unionByName(no_events.select(
-        "user_uuid", F.lit(1).cast("bigint").alias("part"), F.lit(EMPTY_CHART).alias("flowchart")))
+def with_empty_charts(charts: DataFrame, users: DataFrame) -> DataFrame:
+    """Charts of the users given; the placeholder chart for those who have none."""
+    return known_users(users).join(charts, "user_uuid", "left").select(
+        "user_uuid", F.coalesce("part", F.lit(1).cast("bigint")).alias("part"),
+        F.coalesce("flowchart", F.lit(EMPTY_CHART)).alias("flowchart"))
 
 
 def flowcharts(numbered: DataFrame, sessions_per_part=SESSIONS_PER_PART) -> DataFrame:

@@ -9,6 +9,7 @@ from eventloom.operators.journeys import empty_like
 from eventloom.operators.parts import in_sequence, part_of, with_parts
 from eventloom.operators.sessions import number_events
 from eventloom.schema import ITEMS_PER_PART
+from eventloom.sources.shared import stored
 
 # Fixed value: stands between the instruction and the payload.
 DATA_HEADING = "\n\nUSER EVENT DATA:\n"
@@ -41,11 +42,11 @@ def repeated_events(repetition: DataFrame, items_per_part) -> DataFrame:
     )
 
 
-def ai_payload(numbered: DataFrame, metrics: DataFrame, repetition: DataFrame, users: DataFrame,
+def ai_payload(numbered: DataFrame, metrics: DataFrame, repetition: DataFrame,
                items_per_part=ITEMS_PER_PART) -> DataFrame:
-    """Ordered events and repetition summary of every user given. ``numbered`` is
-    the output of ``sessions.number_events``, ``metrics`` that of
-    ``users.user_metrics`` over the same events.
+    """Ordered events and repetition summary of every user in ``metrics``, the output of
+    ``users.user_metrics`` with all users wanted, or of ``category_totals``. ``numbered`` is
+    the output of ``sessions.number_events`` over the same events.
 
     Long lists continue in further parts, each a payload with the totals of the
     whole user. A user without events gets the empty payload, whatever the
@@ -53,14 +54,11 @@ def ai_payload(numbered: DataFrame, metrics: DataFrame, repetition: DataFrame, u
     """
     listed = ordered_events(numbered, items_per_part)
     repeated = repeated_events(repetition, items_per_part)
-    totals = metrics.select("user_uuid", "total_events", "unique_event_types")
     repeats = repetition.groupBy("user_uuid").agg(
         user_ops.most_repeated_name().alias("most_repeated_event"),
         F.count(F.lit(1)).alias("_repeated"))
-    per_user = (
-        user_ops.known_users(users).join(totals, "user_uuid", "left").join(repeats, "user_uuid", "left")
-        .fillna(0, ["total_events", "unique_event_types"])
-    )
+    per_user = metrics.select("user_uuid", "total_events", "unique_event_types").join(
+        repeats, "user_uuid", "left")
     has_events = F.col("total_events") > 0
     items = F.when(has_events, F.greatest("total_events", "_repeated")).otherwise(0)
     most_repeated = F.when(has_events, F.col("most_repeated_event"))
@@ -85,6 +83,14 @@ def ai_payload(numbered: DataFrame, metrics: DataFrame, repetition: DataFrame, u
     )
 
 
+def category_totals(events: DataFrame, category: str) -> DataFrame:
+    """Events and distinct names of one category for all known users, in one pass over all events."""
+    name = F.when(F.lower("category") == category.lower(), F.col("event_name"))
+    inside = F.coalesce(F.lower("category") == category.lower(), F.lit(False))
+    return events.where(F.col("user_uuid").isNotNull()).groupBy("user_uuid").agg(
+        F.sum(inside.cast("bigint")).alias("total_events"), F.countDistinct(name).alias("unique_event_types"))
+
+
 def user_payloads(raw: DataFrame, cleaned: DataFrame, category="application",
                   repetition_scope="all", items_per_part=ITEMS_PER_PART) -> DataFrame:
     """Payloads from the event tables themselves: events of one category from
@@ -93,9 +99,10 @@ def user_payloads(raw: DataFrame, cleaned: DataFrame, category="application",
     if repetition_scope not in ("all", "category"):
         raise ValueError("repetition_scope is 'all' or 'category'")
     counted = raw if repetition_scope == "all" else user_ops.select_category(raw, category)
-    events = user_ops.select_category(cleaned, category)
-    return ai_payload(number_events(events), user_ops.user_metrics(events),
-                      daily_repetition(counted), user_ops.unique_users(cleaned), items_per_part)
+    # Read twice, as arrays and as totals, so it is stored.
+    repetition = stored(daily_repetition(counted), "repetition")
+    return ai_payload(number_events(user_ops.select_category(cleaned, category)),
+                      category_totals(cleaned, category), repetition, items_per_part)
 
 
 def payload_json(payloads: DataFrame) -> DataFrame:

@@ -26,61 +26,65 @@ def without_fence(reply):
     return F.when(F.startswith(text, F.lit(FENCE)), inner).otherwise(text)
 
 
-def is_one_object(text):
-    """True for a text that is a single complete JSON object.
+FIELDS = {field.name: field.dataType.simpleString() for field in REPLY_SCHEMA}
 
-    The JSON functions stop reading after the first value. Put inside an array
-    and inside an object, text after that value no longer goes unseen.
-    """
-    in_array = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
-    in_object = F.size(F.json_object_keys(
-        F.concat(F.lit('{"reply":'), text, F.lit("}")))) == 1
-    return F.coalesce(in_array & in_object & F.json_object_keys(text).isNotNull(), F.lit(False))
 
+def whole_value(text):
+    """The text as a single strict JSON value (VARIANT); null for anything else.
 
-FIELDS = ["interpreted_sessions", "key_observations", "overall_narrative"]
-STRICT = {"allowSingleQuotes": "false", "columnNameOfCorruptRecord": "_corrupt"}
+    The parser stops after the first value. The text is therefore parsed as the first item of a list
+    whose second is a hash of the text, which no text can hold itself: what follows the value, or
+    closes the list early, moves that second item."""
+    mark = F.md5(text.cast("binary"))
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')))
+    return F.struct(listed.alias("listed"), mark.alias("mark"))
 
 
-def raw_fields(text):
-    """The fields of a reply, each as the text of its JSON value, and ``_corrupt``, which
-    is null for strict JSON."""
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in [*FIELDS, "_corrupt"]])
-    return F.from_json(text, schema, STRICT)
+def field(name: str, kind: str, of="reply"):
+    return F.try_variant_get(of, f"$.{name}", kind)
+
+
+def is_given(value):
+    """True for a variant that is there and no JSON null."""
+    return value.isNotNull() & ~F.is_variant_null(value)
 
 
 def shape_error():
     """Name of the first field whose value is given but of another shape than a reply
-    should have, from ``_raw`` and ``parsed``; null if there is none."""
-    listed = F.from_json("_raw.interpreted_sessions", "array<struct<events string>>")
-    odd_events = F.exists(listed, lambda s: s["events"].isNotNull() & ~s["events"].startswith("["))
-    sessions = F.col("parsed.interpreted_sessions")
-    odd = {name: F.col(f"_raw.{name}").isNotNull() & F.col(f"parsed.{name}").isNull() for name in FIELDS}
-    odd["interpreted_sessions"] |= F.coalesce(F.exists(sessions, lambda s: s.isNull()), F.lit(False))
+    should have, from ``reply`` and ``parsed``; null if there is none."""
+    listed = field(REQUIRED_FIELD, "array<struct<events variant>>")
+    odd_events = F.exists(listed, lambda s: is_given(s["events"]) & F.try_variant_get(
+        s["events"], "$", "array<string>").isNull())
+    odd = {name: is_given(field(name, "variant")) & F.col(f"parsed.{name}").isNull() for name in FIELDS}
+    odd[REQUIRED_FIELD] |= F.coalesce(F.exists(f"parsed.{REQUIRED_FIELD}", lambda s: s.isNull()), F.lit(False))
     found = F.when(F.coalesce(odd_events, F.lit(False)), F.lit("events"))
-    return F.coalesce(*[F.when(odd[name], F.lit(name)) for name in FIELDS], found)
+    order = [REQUIRED_FIELD, "key_observations", "overall_narrative"]
+    return F.coalesce(*[F.when(odd[name], F.lit(name)) for name in order], found)
 
 
 def parse_replies(replies: DataFrame) -> DataFrame:
-    """Add ``is_structured``, ``parsed``, ``parse_error`` and ``shape_error`` to ``content``.
-
-    A field of another shape is no parse error: ``parsed`` lacks its contents, ``shape_error``
-    names it, and ``content`` has it still."""
-    text = F.col("_text")
-    has_field = F.coalesce(
-        F.array_contains(F.json_object_keys(text), REQUIRED_FIELD), F.lit(False))
+    """Add ``is_structured``, ``reply``, ``parsed``, ``parse_error`` and ``shape_error`` to ``content``.
+
+    ``reply`` is the whole value of a structured reply, with all it holds; ``parsed`` has the fields
+    asked for. A field of another shape is no parse error: ``parsed`` lacks its contents,
+    ``shape_error`` names it, and ``reply`` has it still."""
+    value = F.when(F.try_variant_get("_whole.listed", "$[1]", "string") == F.col("_whole.mark"),
+                   F.try_variant_get("_whole.listed", "$[0]", "variant"))
+    is_object = F.coalesce(F.startswith(F.schema_of_variant("_value"), F.lit("OBJECT")), F.lit(False))
+    has_field = field(REQUIRED_FIELD, "variant", "_value").isNotNull()
+    parsed = F.struct(*[field(name, kind).alias(name) for name, kind in FIELDS.items()])
     return (
-        replies.withColumn("_text", without_fence(F.col("content")))
-        .withColumn("_raw", raw_fields(text))
-        .withColumn("_object", is_one_object(text) & F.col("_raw._corrupt").isNull())
+        replies.withColumn("_whole", whole_value(without_fence(F.col("content"))))
+        .withColumn("_value", value)
+        .withColumn("_object", is_object)
         .withColumn("is_structured", F.col("_object") & has_field)
-        .withColumn("parsed", F.when(F.col("is_structured"),
-                                     F.from_json(text, REPLY_SCHEMA)))
+        .withColumn("reply", F.when(F.col("is_structured"), F.col("_value")))
+        .withColumn("parsed", F.when(F.col("is_structured"), parsed))
         .withColumn("parse_error",
                     F.when(~F.col("_object"), F.lit("Not a JSON object"))
                     .when(~has_field, F.lit(f"Missing {REQUIRED_FIELD} field")))
         .withColumn("shape_error", F.when(F.col("is_structured"), shape_error()))
-        .drop("_text", "_object", "_raw")
+        .drop("_whole", "_value", "_object")
     )
 
 

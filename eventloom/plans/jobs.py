@@ -2,15 +2,15 @@
 table to sessions, journeys and payloads. Each writes below its own folder and
 fails if a table is already there."""
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, functions as F
 
 from eventloom.operators import (
-    audit, cleaning, flowcharts, journeys, payloads, sessions, users)
+    audit, cleaning, flowcharts, journeys, payloads, replies as reply_ops, sessions, users)
 from eventloom.schema import (
     BURST_MS, NODES_PER_SESSION, REPETITION_SCHEMA, SESSION_GAP_MINUTES, USERS_SCHEMA)
 from eventloom.session import fit_shuffles, keeps_shuffles
 from eventloom.sources import readers, sinks
-from eventloom.sources.shared import drops_intermediate
+from eventloom.sources.shared import drops_intermediate, stored
 
 #: Folders the users are hashed into; None gives each user one, which suits few users only.
 USER_BUCKETS = 256
@@ -81,9 +81,14 @@ def analyse(spark: SparkSession, source: str, target: str, instruction: str,
     sinks.write_table(sessions.number_events(events, gap_minutes, max_nodes),
                       f"{target}/numbered_events")
     numbered = readers.read_table(spark, f"{target}/numbered_events", "same")
-    charts = flowcharts.with_empty_charts(flowcharts.flowcharts(numbered), events, known)
+    charts = flowcharts.with_empty_charts(flowcharts.flowcharts(numbered), known)
     for name, table in {
         "session_summary": sessions.session_summary(events, gap_minutes),
+        "session_cards": sessions.session_cards(numbered),
+        "journey_paths": journeys.journey_path(numbered, users=known),
+        "journey_nodes": journeys.journey_nodes(numbered),
+        "journey_edges": journeys.journey_edges(numbered),
+        "journey_records": journeys.journey_record(numbered, events, known),
         "transitions": journeys.transitions(numbered),
         "flowcharts": charts,
         "user_metrics": users.user_metrics(events, known),
@@ -91,10 +96,29 @@ def analyse(spark: SparkSession, source: str, target: str, instruction: str,
     }.items():
         sinks.write_table(table, f"{target}/{name}")
     metrics = readers.read_table(spark, f"{target}/user_metrics", "same")
-    payload = payloads.ai_payload(numbered, metrics, repetition, known)
+    payload = payloads.ai_payload(numbered, metrics, repetition)
     sinks.write_table(payloads.prompt_table(payload, instruction), f"{target}/prompts")
 
 
+@keeps_shuffles
+@drops_intermediate
+def replies(spark: SparkSession, source: str, events: str, target: str) -> None:
+    """Stored replies (user, part, content) to their sessions, notes and audit against the cleaned
+    events. ``parsed_replies`` has the verdict on each, and the whole value of a structured one as
+    JSON text."""
+    given = readers.read_table(spark, source, "model")
+    cleaned = readers.read_table(spark, f"{events}/cleaned_events", "clean")
+    fit_shuffles(cleaned)
+    parsed = stored(reply_ops.parse_replies(given.select(*reply_ops.KEYS, "content")), "replies")
+    for name, table in {
+        "parsed_replies": parsed.withColumn("reply", F.to_json("reply")).drop("parsed"),
+        "reply_sessions": reply_ops.reply_sessions(parsed),
+        "reply_notes": reply_ops.reply_notes(parsed),
+        "reply_audit": reply_ops.reply_audit(parsed, cleaned),
+    }.items():
+        sinks.write_table(table, f"{target}/{name}")
+
+
 def register_views(spark: SparkSession, source: str) -> None:
     """Tables of the clean job as temporary views for SQL."""
     for name in ("cleaned_events", "repetition_summary", "unique_users_list"):

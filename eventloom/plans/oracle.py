@@ -238,13 +238,13 @@ RARE_SHOWN = f"(select * replace (coalesce(event_name, '(unnamed)') as event_nam
 
 REPLIES = (numbered("ev"), SUMMARY, """
 named as (
-  select user_uuid, session_id, case when session_id % 11 = 0 then []
+  select user_uuid, session_id, (session_sequence - 1) // 10000 as card, case when session_id % 11 = 0 then []
     when session_id % 7 = 0 then list_append(list(event_name order by sequence), 'teleport')
     else list(event_name order by sequence) end as names
-  from num group by 1, 2
+  from num group by 1, 2, 3
 ),
 listed as (
-  select user_uuid, datediff('day', date '2024-01-01', cast(session_date as date)) as part,
+  select user_uuid, datediff('day', date '2024-01-01', cast(session_date as date)) + 100000 * card as part,
     to_json(list({
       'session_name': case when session_id % 2 = 0 then 'Visit ' || session_id end,
       'date': session_date, 'start_time': start_time, 'end_time': end_time, 'events': names,
@@ -254,10 +254,10 @@ listed as (
   from summary join named using (user_uuid, session_id) group by 1, 2
 ),
 bodies as (
-  select user_uuid, part, (cast(user_uuid as bigint) + part) % 7 as form,
-    '{"interpreted_sessions":' || sessions || ',"overall_narrative":'
-    || case when part % 2 = 0 then '"A day"' else 'null' end
-    || ',"key_observations":' || notes || '}' as body
+  select *, (cast(user_uuid as bigint) + part) % 13 as form,
+    '{"interpreted_sessions":' as head, ',"overall_narrative":'
+    || case when part % 2 = 0 then '"A day"' else 'null' end || ',"key_observations":' as middle,
+    head || sessions || middle || notes || '}' as body
   from listed
 ),
 replies as (
@@ -268,6 +268,12 @@ replies as (
     when 3 then '{"sessions": ' || body || '}'
     when 4 then body || ' and more'
     when 5 then '[' || body || ']'
+    when 7 then replace(body, '"', chr(39))
+    when 8 then head || sessions || middle || notes || ',"note":"one' || chr(10) || 'two"}'
+    when 9 then head || notes || middle || notes || '}'
+    when 10 then head || (sessions::json->0)::varchar || middle || notes || '}'
+    when 11 then head || sessions || middle || '"One thing"}'
+    when 12 then head || '[{"events":"click"}]' || middle || notes || '}'
     else 'No sessions.' end as content
   from bodies
 ),
@@ -287,10 +293,17 @@ parsed as (
       '$.interpreted_sessions'), false) and is_object as is_structured
   from unfenced
 ),
+counted as (
+  select *, json_type(body, '$.interpreted_sessions') = 'ARRAY' as is_list,
+    json_type(body, '$.key_observations') = 'ARRAY' as has_notes,
+    case when is_list then cast(json_array_length(body, '$.interpreted_sessions') as bigint) end as session_count,
+    case when has_notes then cast(json_array_length(body, '$.key_observations') as bigint) else 0 end
+      as observation_count
+  from parsed where is_structured
+),
 items as (
   select user_uuid, part, json_extract(body, '$.interpreted_sessions[' || (n - 1) || ']') as item, n
-  from (select *, unnest(range(1, cast(json_array_length(body, '$.interpreted_sessions')
-    as bigint) + 1)) as n from parsed where is_structured)
+  from (select *, unnest(range(1, session_count + 1)) as n from counted)
 ),
 rows_out as (
   select user_uuid, part, n as session_number,
@@ -298,8 +311,16 @@ rows_out as (
     coalesce(item->>'$.date', '') as date, coalesce(item->>'$.start_time', '') as start_time,
     coalesce(item->>'$.end_time', '') as end_time,
     coalesce(item->>'$.interpretation', '') as interpretation,
-    cast(item->'$.events' as varchar[]) as event_list
+    case when json_type(item, '$.events') = 'ARRAY' then cast(item->'$.events' as varchar[]) else [] end
+      as event_list,
+    json_type(item) <> 'OBJECT' as odd, coalesce(json_type(item, '$.events') <> 'ARRAY', false) as odd_events
   from items
+),
+shaped as (
+  select c.*, case when not is_list or coalesce(odd, false) then 'interpreted_sessions'
+    when not has_notes then 'key_observations' when odd_events then 'events' end as shape_error
+  from counted c left join (select user_uuid, part, bool_or(odd) as odd, bool_or(odd_events) as odd_events
+    from rows_out group by 1, 2) using (user_uuid, part)
 )""")
 
 SQL = {
@@ -467,13 +488,11 @@ left join listed using (user_uuid)"""),
 select user_uuid, part, 'Group the events of this user into sessions and answer in JSON.'
   || chr(10) || chr(10) || 'USER EVENT DATA:' || chr(10) || payload_json as prompt from pay"""),
     "ai_reply_parse": sql(*REPLIES, select="""
-select user_uuid, part, is_structured, case when not is_object then 'Not a JSON object'
-    when not is_structured then 'Missing interpreted_sessions field' end as parse_error,
-  case when is_structured then cast(json_array_length(body, '$.interpreted_sessions') as bigint)
-    end as session_count,
-  case when is_structured then json_extract_string(body, '$.overall_narrative') end
-    as overall_narrative
-from parsed"""),
+select user_uuid, part, p.is_structured, case when not p.is_object then 'Not a JSON object'
+    when not p.is_structured then 'Missing interpreted_sessions field' end as parse_error,
+  shape_error, session_count,
+  case when p.is_structured then json_extract_string(p.body, '$.overall_narrative') end as overall_narrative
+from parsed p left join shaped using (user_uuid, part)"""),
     "ai_reply_sessions": sql(*REPLIES, select="""
 select user_uuid, part, session_number, session_name, date, start_time, end_time, interpretation,
   to_json(event_list)::varchar as events, len(event_list) as event_count,
@@ -482,20 +501,45 @@ from rows_out"""),
     "ai_reply_notes": sql(*REPLIES, select="""
 select user_uuid, part, coalesce(json_extract_string(body, '$.overall_narrative'), '')
     as overall_narrative,
-  json_extract(body, '$.key_observations')::varchar as key_observations
-from parsed where is_structured"""),
+  case when has_notes then json_extract(body, '$.key_observations')::varchar else '[]' end as key_observations
+from counted"""),
     "ai_reply_audit": sql(*REPLIES, select="""
-select user_uuid, part, session_count, empty_sessions, unknown_events, observation_count,
-  empty_sessions = 0 and unknown_events = 0 and session_count <= 10
-    and observation_count <= 3 as passes
-from (
-  select user_uuid, part, count(*) as session_count,
-    count(*) filter (where len(event_list) = 0) as empty_sessions,
+select user_uuid, part, coalesce(session_count, 0) as session_count,
+  coalesce(empty_sessions, 0) as empty_sessions, coalesce(unknown_events, 0) as unknown_events,
+  observation_count,
+  coalesce(empty_sessions, 0) = 0 and coalesce(unknown_events, 0) = 0 and coalesce(session_count, 0) <= 10
+    and observation_count <= 3 and shape_error is null as passes
+from shaped left join (
+  select user_uuid, part, count(*) filter (where len(event_list) = 0) as empty_sessions,
     (select count(distinct e) from (select unnest(flatten(list(r.event_list))) as e)
       where e = 'teleport') as unknown_events
-  from rows_out r group by 1, 2)
-join (select user_uuid, part, cast(json_array_length(body, '$.key_observations') as bigint)
-  as observation_count from parsed where is_structured) using (user_uuid, part)"""),
+  from rows_out r group by 1, 2) using (user_uuid, part)"""),
+}
+
+# Times made as texts: the wall clock, cut to milliseconds where the position is even, less the offset.
+TIMES = """
+timed as (
+  select *, case when event_pos % 2 = 0 then date_trunc('millisecond', event_local) else event_local end as shown,
+    [0, 0, 330, -480][event_pos % 4 + 1] as minutes, ['+0000', 'Z', '+05:30', '-0800'][event_pos % 4 + 1] as given,
+    ['+00:00', '+00:00', '+05:30', '-08:00'][event_pos % 4 + 1] as offset_text
+  from ev
+)"""
+
+SQL |= {
+    "parse_raw_times": sql(TIMES, select="""
+select user_uuid, event_name, category, event_pos,
+  case when event_pos % 7 <> 0 then strftime(shown, '%Y-%m-%d %H:%M:%S.%f') end as event_local,
+  case when event_pos % 7 <> 0 then epoch_us(shown) - minutes::bigint * 60000000 end as instant_us,
+  case when event_pos % 7 <> 0 then offset_text end as offset_text,
+  case when event_pos % 7 = 0 then replace(
+    left(strftime(shown, '%Y-%m-%d %H:%M:%S.%f'), case when event_pos % 2 = 0 then 23 else 26 end)
+      || ' ' || given, '-', '/') end as rejected_text
+from timed"""),
+    "parse_iso_times": sql(TIMES, select="""
+select user_uuid, event_name, category, event_pos, strftime(shown, '%Y-%m-%d %H:%M:%S.%f') as event_local,
+  epoch_us(shown) - case when event_pos % 5 = 0 then 0 else minutes::bigint * 60000000 end as instant_us,
+  case when event_pos % 5 = 0 then '+00:00' else offset_text end as offset_text
+from timed"""),
 }
 
 # A stream run to its end gives what the batch operator gives.

@@ -7,7 +7,7 @@ from eventloom.functions import texts, times
 from eventloom.operators import (
     audit, cleaning, flowcharts, journeys, ordering, payloads, replies, sessions, users)
 from eventloom.schema import NODES_PER_SESSION, SESSION_GAP_MINUTES
-from eventloom.sources import shared
+from eventloom.sources import readers, shared
 from eventloom.sources.sinks import with_user_key
 from eventloom.sources.tables import load_events, stream_events, with_copies
 from eventloom.streaming import bursts, finite, numbering
@@ -61,6 +61,47 @@ def without_instants(df: DataFrame) -> DataFrame:
         "event_time", "event_offset")
 
 
+# Reading times
+
+# The offsets of the made time texts, and their minutes.
+OFFSETS = [("+0000", 0), ("Z", 0), ("+05:30", 330), ("-0800", -480)]
+
+
+def time_texts(spark, sf_dir, separator) -> DataFrame:
+    """Events whose time is a text at one of several offsets, with three or six digits of fraction."""
+    events = load_events(spark, sf_dir)
+    text = times.date_time_text(F.col("event_local"))
+    digits = F.when(F.col("event_pos") % 2 == 0, F.substring(text, 1, 23)).otherwise(text)
+    offset = F.element_at(F.array(*[F.lit(name) for name, _ in OFFSETS]), (F.col("event_pos") % 4 + 1).cast("int"))
+    return events.select("user_uuid", "event_name", "category", "event_pos", F.concat(
+        F.replace(digits, F.lit(" "), F.lit(separator)), F.lit(" " if separator == " " else ""), offset).alias("event_time"))
+
+
+def parsed_times(events):
+    return without_instants(events.withColumns({
+        "instant_us": F.unix_micros("event_time"), "offset_text": F.col("event_offset")}))
+
+
+@query
+def parse_raw_times(spark, sf_dir):
+    """Raw times; every seventh text has a slash in its date and is rejected as it came."""
+    texts_ = time_texts(spark, sf_dir, " ")
+    odd = F.when(F.col("event_pos") % 7 == 0, F.replace("event_time", F.lit("-"), F.lit("/"))).otherwise(
+        F.col("event_time"))
+    good, rejected = readers.parse_raw_lenient(texts_.withColumn("event_time", odd))
+    return parsed_times(good).unionByName(
+        rejected.withColumnRenamed("event_time", "rejected_text"), allowMissingColumns=True)
+
+
+@query
+def parse_iso_times(spark, sf_dir):
+    """ISO times; every fifth text has no offset, which counts as offset zero."""
+    texts_ = time_texts(spark, sf_dir, "T")
+    bare = F.when(F.col("event_pos") % 5 == 0, F.regexp_replace("event_time", readers.OFFSET_PATTERN, "")).otherwise(
+        F.col("event_time"))
+    return parsed_times(readers.parse_iso(texts_.withColumn("event_time", bare)))
+
+
 # Cleaning
 
 @query
@@ -370,7 +411,7 @@ def flowchart_parts(spark, sf_dir):
     events = load_events(spark, sf_dir)
     everyone = users.unique_users(events)
     charts = flowcharts.flowcharts(numbered(events, WIDE_GAP_MINUTES, FEW_NODES), FEW_SESSIONS)
-    return flowcharts.with_empty_charts(charts, events, everyone)
+    return flowcharts.with_empty_charts(charts, everyone)
 
 
 # Payloads
@@ -397,9 +438,13 @@ def prompt_table(spark, sf_dir):
 
 # Replies
 
+CARDS_APART = 100_000
+
+
 def made_replies(spark, sf_dir) -> DataFrame:
-    """A reply per user and day, made from the sessions of that day, in seven
-    forms from well-formed to unusable; some name events that never happened."""
+    """A reply per user and day, made from the sessions of that day, in thirteen forms: well-formed,
+    unusable, not quite JSON, and of another shape; some name events that never happened.
+    What goes on in a further part of a session card is in a reply of its own."""
     cards = sessions.session_cards(numbered(load_events(spark, sf_dir)))
     number = F.col("session_id")
     names = F.transform("events", lambda event: event["name"])
@@ -413,23 +458,37 @@ def made_replies(spark, sf_dir) -> DataFrame:
         names.alias("events"),
         F.when(number % 3 == 0, F.lit('Said "so"')).alias("interpretation"))
     day = F.datediff(F.col("session_date").cast("date"), F.lit("2024-01-01").cast("date"))
-    listed = cards.groupBy("user_uuid", day.cast("bigint").alias("part")).agg(
+    part = day.cast("bigint") + (F.col("part") - 1) * CARDS_APART
+    listed = cards.groupBy("user_uuid", part.alias("part")).agg(
         sessions.in_sequence(number, item).alias("_sessions"))
-    notes = F.transform("_sessions", lambda session: F.concat(F.lit("At "), session["start_time"]))
-    body = F.to_json(F.struct(
-        F.col("_sessions").alias("interpreted_sessions"),
-        F.when(F.col("part") % 2 == 0, F.lit("A day")).alias("overall_narrative"),
-        notes.alias("key_observations")))
-    form = F.pmod(F.col("user_uuid").cast("bigint") + F.col("part"), F.lit(7))
-    content = (
-        F.when(form == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
-        .when(form == 1, F.concat(F.lit(" \n\t"), body, F.lit("\n")))
-        .when(form == 2, F.concat(F.lit("```\n"), body, F.lit("\n```  ")))
-        .when(form == 3, F.concat(F.lit('{"sessions": '), body, F.lit("}")))
-        .when(form == 4, F.concat(body, F.lit(" and more")))
-        .when(form == 5, F.concat(F.lit("["), body, F.lit("]")))
-        .otherwise(F.lit("No sessions."))
-    )
+    notes = F.to_json(F.transform("_sessions", lambda session: F.concat(F.lit("At "), session["start_time"])))
+    listed = listed.withColumns({
+        "_list": F.to_json("_sessions"), "_first": F.to_json(F.get("_sessions", F.lit(0))), "_notes": notes})
+    told = F.when(F.col("part") % 2 == 0, F.lit('"A day"')).otherwise(F.lit("null"))
+
+    def reply(listed_sessions, listed_notes=F.col("_notes"), rest=""):
+        return F.concat(
+            F.lit('{"interpreted_sessions":'), listed_sessions, F.lit(',"overall_narrative":'), told,
+            F.lit(',"key_observations":'), listed_notes, F.lit(rest + "}"))
+
+    body = reply(F.col("_list"))
+    form = F.pmod(F.col("user_uuid").cast("bigint") + F.col("part"), F.lit(13))
+    forms = [
+        F.concat(F.lit("```json\n"), body, F.lit("\n```")),
+        F.concat(F.lit(" \n\t"), body, F.lit("\n")),
+        F.concat(F.lit("```\n"), body, F.lit("\n```  ")),
+        F.concat(F.lit('{"sessions": '), body, F.lit("}")),
+        F.concat(body, F.lit(" and more")),
+        F.concat(F.lit("["), body, F.lit("]")),
+        F.lit("No sessions."),
+        F.translate(body, '"', "'"),
+        reply(F.col("_list"), rest=',"note":"one\ntwo"'),
+        reply(F.col("_notes")),
+        reply(F.col("_first")),
+        reply(F.col("_list"), F.lit('"One thing"')),
+        reply(F.lit('[{"events":"click"}]')),
+    ]
+    content = F.element_at(F.array(*forms), (form + 1).cast("int"))
     return listed.select("user_uuid", "part", content.alias("content"))
 
 
@@ -437,7 +496,7 @@ def made_replies(spark, sf_dir) -> DataFrame:
 def ai_reply_parse(spark, sf_dir):
     parsed = replies.parse_replies(made_replies(spark, sf_dir))
     return parsed.select(
-        "user_uuid", "part", "is_structured", "parse_error",
+        "user_uuid", "part", "is_structured", "parse_error", "shape_error",
         F.size("parsed.interpreted_sessions").cast("bigint").alias("session_count"),
         F.col("parsed.overall_narrative").alias("overall_narrative"))
 

@@ -143,3 +143,10 @@ def test_heavy_keys_spread_over_tasks(spark):
     numbered = sessions.number_events(clean)
     wrong = numbered.withColumn("expected", F.row_number().over(whole)).where("expected <> sequence")
     assert wrong.count() == 0
+
+
+@pytest.mark.parametrize("name, scans", [("flowchart_text", 1), ("ai_payload", 1), ("session_events", 0)])
+def test_scans_of_the_source(spark, name, scans):
+    """Beside the pass that puts the events in order, and for payloads one that counts repetition."""
+    text = plan(QUERIES[name](spark, SF_DIR))
+    assert text.count("events.parquet") == scans

@@ -1,4 +1,6 @@
+import hashlib
 import json
+import re
 
 from eventloom.operators import replies
 from tests.support import event
@@ -53,6 +55,28 @@ def test_other_shapes_are_named_and_fail_the_audit(spark):
     assert [r.passes for r in audit.orderBy("part").collect()] == [False] * 4 + [True]
 
 
+def test_what_follows_the_value_is_seen(spark):
+    """Also where it closes the list the text is parsed in, or looks like its end."""
+    mark = hashlib.md5(BODY.encode()).hexdigest()
+    assert structured(spark, BODY + "]", BODY + '] and "', BODY + f',"{mark}"]', BODY + f',"{mark}"] [' + BODY,
+                      BODY + ",", BODY + ' "' + mark + '"', "," + BODY, BODY + "\n\t") == [False] * 7 + [True]
+
+
+def test_the_whole_value_is_kept(spark):
+    body = '{"interpreted_sessions": [{"events": ["a"], "mood": {"x": [1, null]}}], "more": true, "overall_narrative": 1.5}'
+    row = parse(spark, body, "[1]").selectExpr(
+        "to_json(reply) as reply", "parsed", "variant_get(reply, '$.interpreted_sessions[0].mood.x[0]', 'int') as x").collect()
+    assert json.loads(row[0].reply) == json.loads(body)
+    assert (row[0].x, row[0].parsed.overall_narrative) == (1, "1.5")
+    assert (row[1].reply, row[1].parsed) == (None, None)
+
+
+def test_one_json_pass(spark):
+    plan = replies.parse_replies(spark.createDataFrame([("u", 1, BODY)], "user_uuid string, part bigint, content string"))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"(?:try_)?parse_json\(|parseJson\(|from_json\(|json_object_keys\(|json_array_length\(", text)) == 1
+
+
 def test_missing_reply(spark):
     row = parse(spark, None).first()
     assert (row.is_structured, row.parsed) == (False, None)

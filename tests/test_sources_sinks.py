@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventloom.plans import jobs
-from eventloom.sources import readers, sinks
+from eventloom.sources import readers, shared, sinks
 
 HEADER = "category,event_time,event_name,user_uuid,device\n"
 ROWS = [
@@ -134,14 +134,19 @@ def test_csv_jobs_end_to_end(spark, raw_csv, tmp_path):
 
 def test_parquet_jobs_end_to_end(spark, raw_csv, tmp_path):
     first, third = str(tmp_path / "clean"), str(tmp_path / "analysis")
+    before = glob.glob(f"{shared.shared_folder(spark)}/in-order-*")
     jobs.clean(spark, raw_csv, first, buckets=4)
     jobs.timeline(spark, first, str(tmp_path / "time"), buckets=4)
     jobs.analyse(spark, first, third, "Say.")
     prompts = spark.read.parquet(f"{third}/prompts")
     assert sorted(r.user_uuid for r in prompts.collect()) == ["a/b", "a_b", "u1"]
     assert spark.read.parquet(f"{third}/session_summary").count() == 3
+    events = spark.read.parquet(f"{third}/session_summary").agg(F.sum("event_count")).first()[0]
+    for name, rows in (("session_cards", 3), ("journey_paths", 3), ("journey_records", 3), ("journey_nodes", events)):
+        assert spark.read.parquet(f"{third}/{name}").count() == rows, name
     per_user = spark.read.parquet(f"{first}/per_user_cleaned_events")
     assert per_user.count() == 4
+    assert glob.glob(f"{shared.shared_folder(spark)}/in-order-*") == before
     jobs.register_views(spark, first)
     assert spark.sql("select count(*) from cleaned_events").first()[0] == 5
 
@@ -188,6 +193,27 @@ def test_shuffles_grow_with_the_source(spark, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_replies_job(spark, raw_csv, tmp_path, monkeypatch):
+    import sys
+
+    from eventloom import __main__ as command
+
+    clean, out = str(tmp_path / "clean"), str(tmp_path / "replies")
+    jobs.clean(spark, raw_csv, clean, buckets=2)
+    name = spark.read.parquet(f"{clean}/cleaned_events").where("user_uuid = 'u1'").first().event_name
+    body = '{"interpreted_sessions": [{"events": ["%s"]}], "mood": 1}' % name
+    rows = [("u1", 1, f"```json\n{body}\n```"), ("a/b", 1, "nothing"), ("u1", 2, body + ", 1")]
+    spark.createDataFrame(rows, "user_uuid string, part bigint, content string").write.parquet(str(tmp_path / "model"))
+    monkeypatch.setattr(sys, "argv", ["eventloom", "replies", str(tmp_path / "model"), out, "--events", clean])
+    command.main()
+    parsed = {(r.user_uuid, r.part): r for r in spark.read.parquet(f"{out}/parsed_replies").collect()}
+    assert parsed["u1", 1].reply == '{"interpreted_sessions":[{"events":["%s"]}],"mood":1}' % name
+    assert [parsed[key].parse_error for key in (("a/b", 1), ("u1", 2))] == ["Not a JSON object"] * 2
+    audit = spark.read.parquet(f"{out}/reply_audit").collect()
+    assert [(r.user_uuid, r.part, r.passes) for r in audit] == [("u1", 1, True)]
+    assert spark.read.parquet(f"{out}/reply_sessions").count() == spark.read.parquet(f"{out}/reply_notes").count() == 1
+
+
 def test_command_line(spark, raw_csv, tmp_path, monkeypatch):
     import sys
 
