@@ -53,8 +53,13 @@ with split as (
 ), plain as (
   select *, trim(regexp_replace(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                 '[\x20\x09-\x0D]+', ' ', 'g'), ' ') as norm from spread
+), ranked as (
+  select *, norm <> '' and row_number() over (partition by norm order by doc_id, unit) > 1 as repeated from plain
+), runs as (
+  select *, count(*) filter (norm <> '' and not repeated) over (partition by doc_id order by unit) as run from ranked
 ), judged as (
-  select *, norm <> '' and row_number() over (partition by norm order by doc_id, unit) > 1 as gone from plain
+  select *, repeated and sum(case when repeated then len(string_split(norm, ' ')) end)
+    over (partition by doc_id, run) >= 15 as gone from runs
 )
 select doc_id, count(*) filter (norm <> '') as n_units, count(*) filter (gone) as n_removed,
        coalesce(sum(length(body)) filter (gone), 0)::bigint as removed_chars,
