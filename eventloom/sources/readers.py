@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from eventloom.functions import times
 from eventloom.schema import CALENDAR_COLUMNS, RAW_COLUMNS
+from eventloom.sources import quoted_lines
 
 # Fixed value: the time format of raw logs; one to six digits of fraction are
 # required. The offset may be +0530, +05:30 or Z.
@@ -23,8 +24,10 @@ def marked_csv(spark: SparkSession, path: str, multi_line: bool = False) -> Data
     Lines with fewer fields are legal, the rest is null. Columns beyond the known
     ones are kept. Files whose headers differ fail the job.
 
-    Files with line breaks inside quotes need ``multi_line``, which gives up
-    splitting a file between tasks.
+    Files with line breaks inside quotes need ``multi_line``, see ``quoted_lines``: files are still
+    split between tasks, but all lines go through a shuffle. A record of more than
+    ``quoted_lines.MAX_LINES`` lines counts as a quote that is never closed, and each of its
+    lines as malformed.
     """
     reader = (
         spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
@@ -37,18 +40,44 @@ def marked_csv(spark: SparkSession, path: str, multi_line: bool = False) -> Data
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         raise MissingInput(f"{path} not found") from error
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in [*names, "malformed_row"]])
-    events = reader.schema(schema).csv(path)
-    bare = F.regexp_replace("malformed_row", r'"(?:[^"]|"")*"', "")
-    odd = (F.regexp_count(bare, F.lit(",")) >= len(names)) | bare.contains('"')
-    events = events.withColumn("malformed_row", F.when(odd, F.col("malformed_row")))
+    if multi_line:
+        events = quoted_records(spark, path, names)
+    else:
+        schema = T.StructType([T.StructField(name, T.StringType()) for name in [*names, "malformed_row"]])
+        # Row ids grow within a file split; path and offset put the splits in order.
+        position = F.struct("_metadata.file_path", "_metadata.file_block_start",
+                            F.monotonically_increasing_id().alias("row"))
+        events = reader.schema(schema).csv(path).withColumns({
+            "malformed_row": F.when(is_malformed("malformed_row", names), F.col("malformed_row")),
+            "event_pos": position})
     missing = [name for name in RAW_COLUMNS if name not in events.columns]
     if missing:
         raise ValueError(f"{path} lacks the columns {', '.join(missing)}")
-    # Row ids grow within a file split; path and offset put the splits in order.
-    position = F.struct("_metadata.file_path", "_metadata.file_block_start",
-                        F.monotonically_increasing_id().alias("row"))
-    return events.withColumn("event_pos", position)
+    return events
+
+
+def is_malformed(record: str, names: list[str]):
+    """More fields than the header, or a quote left open."""
+    bare = F.regexp_replace(record, r'"(?:[^"]|"")*"', "")
+    return (F.regexp_count(bare, F.lit(",")) >= len(names)) | bare.contains('"')
+
+
+def quoted_records(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """The columns of ``marked_csv`` from records that may hold line breaks."""
+    rows = quoted_lines.records(spark, path).where((F.btrim("_record") != "") | F.col("_runaway"))
+    schema = ", ".join(f"`{name.replace('`', '``')}` string" for name in names)
+    fields = F.from_csv("_record", schema, {"escape": '"'})
+    parsed = rows.withColumn("_fields", F.when(~F.col("_runaway"), fields))
+    given = F.array(*[F.col(f"_fields.`{name}`") for name in names])
+    differs = (F.col("_at") == 0) & ~given.eqNullSafe(F.array(*map(F.lit, names)))
+    message = F.concat(F.lit("another header: "), F.col("_record"))
+    kept = F.when(differs, F.raise_error(message).cast("boolean")).otherwise(F.col("_at") > 0)
+    odd = F.col("_runaway") | is_malformed("_record", names)
+    position = F.struct(F.col(quoted_lines.FILE).alias("file_path"),
+                        F.col(quoted_lines.SPLIT).alias("file_block_start"), F.col("_row").alias("row"))
+    return parsed.where(kept).select(
+        *[F.col(f"_fields.`{name}`").alias(name) for name in names],
+        F.when(odd, F.col("_record")).alias("malformed_row"), position.alias("event_pos"))
 
 
 def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
