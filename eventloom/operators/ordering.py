@@ -17,6 +17,9 @@ SLOT_SECONDS = 600
 # The slot of events without a time, which come last.
 TIMELESS_FROM = 1 << 60
 
+# Fixed value: Spark's row ids have the partition above so many bits.
+ROW_BITS = 33
+
 
 def slot_seconds(gap_minutes=None) -> int:
     """Widest slot that divides a day and is not longer than the session gap, so

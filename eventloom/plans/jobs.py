@@ -24,6 +24,8 @@ def clean(spark: SparkSession, source: str, target: str, threshold_ms=BURST_MS,
     one folder per user bucket (per user where ``buckets`` is None)."""
     raw = readers.read_raw_events(spark, source)
     fit_shuffles(raw)
+    # The log is parsed once; what follows reads columns of the stored rows.
+    raw = stored(raw, "raw")
     order = sinks.name_order() if fmt == "csv" else None
     sinks.write_events(cleaning.cleaned_events(raw, threshold_ms), f"{target}/cleaned_events",
                        order, fmt)

@@ -542,5 +542,13 @@ select user_uuid, event_name, category, event_pos, strftime(shown, '%Y-%m-%d %H:
 from timed"""),
 }
 
+DAY_METRICS = """count(distinct user_uuid) as total_users,
+  count(distinct coalesce('=' || user_uuid, '')) as total_unique_users, count(*) as total_events from ev"""
+
+SQL |= {
+    "monthly_users": sql(select=f"select strftime(event_local, '%Y-%m') as month, {DAY_METRICS} group by 1"),
+    "february_users": sql(select=f"select {DAY_METRICS} where event_local::date between '2024-01-20' and '2024-02-17'"),
+}
+
 # A stream run to its end gives what the batch operator gives.
 SQL |= {"stream_bursts": SQL["dedup_clean"], "stream_sessions": SQL["session_summary"]}

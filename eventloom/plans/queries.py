@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from eventloom.functions import texts, times
 from eventloom.operators import (
-    audit, cleaning, flowcharts, journeys, ordering, payloads, replies, sessions, users)
+    audit, cleaning, flowcharts, journeys, ordering, payloads, replies, sessions, user_days, users)
 from eventloom.schema import NODES_PER_SESSION, SESSION_GAP_MINUTES
 from eventloom.sources import readers, shared
 from eventloom.sources.sinks import with_user_key
@@ -261,6 +261,30 @@ def most_repeated(spark, sf_dir):
     return users.most_repeated(audit.daily_repetition(load_events(spark, sf_dir)))
 
 
+def user_days_of(spark, sf_dir) -> DataFrame:
+    """Bitmaps of the events as two logs, the second with users of its own."""
+    events = load_events(spark, sf_dir)
+    late = F.col("event_pos") % 3 == 0
+    numbers = user_days.numbered_users(events.where(~late & (F.col("user_uuid") % 5 != 0)))
+    numbers = numbers.unionByName(user_days.numbered_users(events, numbers))
+    return shared.stored(user_days.user_days(events.where(~late), numbers).unionByName(
+        user_days.user_days(events.where(late), numbers)), "user-days")
+
+
+@query
+def monthly_users(spark, sf_dir):
+    """Distinct users per month from bitmaps per day."""
+    month = F.col("event_date").cast("string").substr(1, 7)
+    return user_days.metrics_of_days(user_days_of(spark, sf_dir), month).withColumnRenamed("_group0", "month")
+
+
+@query
+def february_users(spark, sf_dir):
+    """Distinct users over a range of days that no month or week matches."""
+    days = user_days_of(spark, sf_dir).where(F.col("event_date").between("2024-01-20", "2024-02-17"))
+    return user_days.metrics_of_days(days)
+
+
 # Sessions
 
 def without_session_times(df):
