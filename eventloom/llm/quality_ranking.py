@@ -77,7 +77,7 @@ def text_features(column: pa.Array) -> np.ndarray:
         sign = classes == _SIGN
         stop = _STOPS[data]
         doubled = np.zeros(len(data), bool)
-        doubled[1:] = sign[1:] & sign[:-1]
+        doubled[1:] = sign[1:] & sign[:-1] & (row_of_byte[1:] == row_of_byte[:-1])
         per_row = lambda flags: np.bincount(row_of_byte[flags], minlength=count)
         lowered = LOWER[data]
         starts, ends, first = word_spans(lowered, offsets, NOT_BLANK)
@@ -175,7 +175,8 @@ def fit_pairs(features: np.ndarray, labels: np.ndarray, pairs: int = PAIRS, seed
 
 
 def held_out(id_col: str = "doc_id"):
-    return F.crc32(F.col(id_col).cast("string")) % 5 == 0
+    """Whether a row is kept out of learning; false for a null id."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="quality",
@@ -183,8 +184,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="t
     """Learn from labelled documents that are not held out.
 
     At most ``sample_docs`` of them, those whose ids have the smallest hashes, are used; null
-    labels and null ids are not. An id with several labels counts with its largest."""
-    usable = labels.filter(F.col(label_col).isin(0, 1) & ~held_out(id_col)).groupBy(id_col).agg(
+    labels and null ids are not. An id with several labels counts with its largest. Rows that repeat in
+    id and text count once; where ids repeat with other texts, at most ``2 * sample_docs`` rows are
+    used, those of the smallest hashes of id and text."""
+    usable = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(
         F.max(label_col).cast("int").alias("label"))
     # Of bounded size, so it may be sent to all executors.
     chosen = usable.orderBy(F.xxhash64(id_col), id_col).limit(sample_docs)
@@ -199,7 +202,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="t
                 [batch.column(0), batch.column(2), pa.array(list(found), pa.list_(pa.float64()))], names=schema.names)
 
     keyed = known.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), text_col, "label")
-    rows = keyed.mapInArrow(run, schema).limit(2 * sample_docs).toArrow()
+    rows = keyed.mapInArrow(run, schema).dropDuplicates(["key"]).orderBy("key").limit(2 * sample_docs).toArrow()
     order = np.argsort(rows["key"].to_numpy(), kind="stable")
     features = np.array(rows["features"].to_pylist(), float).reshape(-1, len(FEATURES))[order]
     return fit_pairs(features, rows["label"].to_numpy()[order], pairs)

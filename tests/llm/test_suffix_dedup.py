@@ -71,5 +71,5 @@ def test_edges(spark):
             (None, same + "end", None, None, None)]
     frame = documents(spark, rows).withColumn("n_bytes", F.lit("clash")).withColumn("tid", F.lit(0))
     out = suffix_dedup.without_repeats(frame).collect()
-    assert sorted((r.n_bytes, r.n_removed) for r in out) == [(0, 0), (300, 300), (300, 300), (303, 302)] or len(out) == 4
+    assert sorted((r.n_bytes, r.n_removed) for r in out) == [(0, 0), (300, 300), (300, 300), (303, 300)]
     assert {c for c in out[0].asDict()} >= {"tid", "lang", "kept_text"}
