@@ -48,8 +48,8 @@ FEATURES = ["bytes", "words", "upper", "digits", "signs", "rare_signs", "wide",
 
 
 def _shares_distinct(values: np.ndarray, row_of: np.ndarray, counts: np.ndarray):
-    """Per row: share of distinct values, and share of the most frequent one."""
-    distinct, most = np.ones(len(counts)), np.zeros(len(counts))
+    """Per row: share of distinct values, and share of the most frequent one; 0 without values."""
+    distinct, most = np.zeros(len(counts)), np.zeros(len(counts))
     if len(values):
         order = np.lexsort((values, row_of))
         values, rows = values[order], row_of[order]
