@@ -41,12 +41,55 @@ def made_texts():
     return values
 
 
-@pytest.mark.parametrize("limits", [{}, {"group_rows": 4}, {"range_rows": 7, "sample_rows": 50}])
+@pytest.mark.parametrize("limits", [{}, {"group_rows": 4}, {"group_rows": 1}, {"range_rows": 7, "sample_rows": 50}])
 def test_equals_counting_all_windows(spark, limits):
     values = made_texts()
     assert judged(texts(spark, values), **limits) == plain_removals(list(enumerate(values)))
 
 
+def test_one_gram_in_most_rows(spark):
+    """A passage in most texts, its surroundings alike in part, copied or distinct."""
+    draw = random.Random(8)
+    some = lambda n: "".join(draw.choice("abcdefgh ") for _ in range(n))
+    passage, sides = some(150), [some(120) for _ in range(4)]
+    values = [some(300) for _ in range(10)]
+    for k in range(60):
+        left = sides[k % 3][draw.randint(0, 110):] if k % 2 else some(draw.randint(0, 90))
+        right = sides[3][:draw.randint(0, 120)] if k % 5 else some(draw.randint(0, 90))
+        values.append(some(k % 7) + left + passage + right + some(k % 4))
+    want = plain_removals(list(enumerate(values)))
+    assert sum(removed > 0 for _, removed, _, _ in want.values()) > 30
+    for group_rows in (2, 9):
+        assert judged(texts(spark, values), group_rows=group_rows) == want
+
+
+def test_grams_grow_to_whole_windows(spark):
+    """Each window of an anchor is in one of the two that it gives, at every step, and contexts that
+    are equal within a task are settled there."""
+    import numpy as np
+    draw = random.Random(3)
+    text = bytes(draw.choice(b"abcd") for _ in range(900))
+    place, first, owned, _ = suffix_dedup.anchors(np.frombuffer(text, np.uint8))
+    held = [int(p) for p in suffix_dedup._packed(place, first, owned)]
+    gram = suffix_dedup.GRAM
+    while gram < 200:
+        frame = spark.createDataFrame([(b"a", text, held)], "tid binary, text binary, frequent array<long>").coalesce(1)
+        rows = suffix_dedup._grown(frame, 200, gram).collect()
+        assert all(r.start is None for r in rows)
+        held = [r.place for r in rows]
+        gram = 200 - (200 - gram) // 2
+        starts = []
+        for p in held:
+            position, most, owned = suffix_dedup._unpacked(p)
+            assert most <= 200 - gram
+            starts += range(position - most, position - most + owned)
+        assert sorted(starts) == list(range(701))
+    twice = spark.createDataFrame([(b"a", text, held), (b"b", text, held)],
+                                  "tid binary, text binary, frequent array<long>").coalesce(1)
+    spans = [r for r in suffix_dedup._grown(twice, 200, 64).collect() if r.start is not None]
+    assert len(spans) == 2 * 701 and {r.tid for r in spans} == {b"a", b"b"}
+
+
 def test_real_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
