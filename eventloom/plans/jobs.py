@@ -4,12 +4,13 @@ fails if a table is already there."""
 
 from pyspark.sql import SparkSession, functions as F
 
+from eventloom.functions import times
 from eventloom.operators import (
-    audit, cleaning, flowcharts, journeys, payloads, replies as reply_ops, sessions, users)
+    audit, cleaning, flowcharts, increments, journeys, payloads, replies as reply_ops, sessions, users)
 from eventloom.schema import (
     BURST_MS, NODES_PER_SESSION, REPETITION_SCHEMA, SESSION_GAP_MINUTES, USERS_SCHEMA)
 from eventloom.session import fit_shuffles, keeps_shuffles
-from eventloom.sources import readers, sinks
+from eventloom.sources import readers, sinks, snapshots
 from eventloom.sources.shared import drops_intermediate, stored
 
 #: Folders the users are hashed into; None gives each user one, which suits few users only.
@@ -34,6 +35,34 @@ def clean(spark: SparkSession, source: str, target: str, threshold_ms=BURST_MS,
                   buckets, f"{target}/per_user_cleaned_events" if per_user else None)
 
 
+@keeps_shuffles
+@drops_intermediate
+def add(spark: SparkSession, source: str, store: str, log: str, threshold_ms=BURST_MS) -> bool:
+    """Merge one more raw log into a store, whose events and repetition are then those of all logs in one.
+    Only the days it touches are read and written. A log of a name that is in already is left out."""
+    raw = readers.read_raw_events(spark, source)
+    fit_shuffles(raw)
+    return add_events(spark, stored(raw, "raw"), store, log, threshold_ms)
+
+
+def add_events(spark, events, store, log, threshold_ms=BURST_MS) -> bool:
+    return snapshots.add_log(spark, store, log, {
+        cells_name(threshold_ms): (increments.burst_cells(events, threshold_ms), increments.merged_cells),
+        "repetition": (increments.repetition_days(events), increments.merged_repetition)})
+
+
+def cells_name(threshold_ms) -> str:
+    return f"cells_{cleaning.threshold_micros(threshold_ms)}us"
+
+
+def read_store(spark: SparkSession, store: str, threshold_ms=BURST_MS, number: int | None = None):
+    """(cleaned events, repetition of all days) of a store, as of its last manifest or an earlier one. The
+    threshold is that with which its logs were added."""
+    cells = snapshots.read_snapshot(spark, store, cells_name(threshold_ms), number)
+    days = snapshots.read_snapshot(spark, store, "repetition", number)
+    return times.calendar(increments.kept_of_cells(cells, threshold_ms)), days.drop("day")
+
+
 @keeps_shuffles
 @drops_intermediate
 def timeline(spark: SparkSession, source: str, target: str, threshold_ms=None,

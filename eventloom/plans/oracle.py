@@ -550,5 +550,8 @@ SQL |= {
     "february_users": sql(select=f"select {DAY_METRICS} where event_local::date between '2024-01-20' and '2024-02-17'"),
 }
 
+# Logs merged one by one give what one log gives.
+SQL |= {"incremental_clean": SQL["dedup_clean"], "incremental_repetition": SQL["daily_repetition_all"]}
+
 # A stream run to its end gives what the batch operator gives.
 SQL |= {"stream_bursts": SQL["dedup_clean"], "stream_sessions": SQL["session_summary"]}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 from eventloom.functions import texts, times
 from eventloom.operators import (
     audit, cleaning, flowcharts, journeys, ordering, payloads, replies, sessions, user_days, users)
+from eventloom.plans import jobs
 from eventloom.schema import NODES_PER_SESSION, SESSION_GAP_MINUTES
 from eventloom.sources import readers, shared
 from eventloom.sources.sinks import with_user_key
@@ -120,6 +121,25 @@ def dedup_clean(spark, sf_dir):
     return without_instants(cleaning.cleaned_events(bursty(spark, sf_dir)))
 
 
+def grown_store(spark, sf_dir):
+    """A store to which the events came in three logs, each with events before and among those of the others."""
+    store = shared.new_path(spark, "store")
+    events = bursty(spark, sf_dir)
+    for k in (2, 0, 1):
+        jobs.add_events(spark, events.where(F.col("event_pos") % 3 == k), store, f"log-{k}")
+    return jobs.read_store(spark, store)
+
+
+@query
+def incremental_clean(spark, sf_dir):
+    return without_instants(grown_store(spark, sf_dir)[0])
+
+
+@query
+def incremental_repetition(spark, sf_dir):
+    return grown_store(spark, sf_dir)[1]
+
+
 @query
 def dedup_wide(spark, sf_dir):
     return without_instants(
