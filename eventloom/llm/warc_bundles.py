@@ -21,6 +21,9 @@ from eventloom.llm.storage import new_path, stored
 
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 64 << 20
+#: Frames of a bundle that one task reads in a row, and plain bytes of a task.
+FRAMES_AT_ONCE = 16
+READ_BYTES = 128 << 20
 #: Fixed values of the seekable format: magic number of the skippable frame, and of the footer.
 SKIPPABLE, FOOTER = 0x184D2A5E, 0x8F92EAB1
 DATE = "1970-01-01T00:00:00Z"
@@ -206,11 +209,16 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
         [pa.array(values, kind) for values, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=READ.names)
 
 
-def read_bundles(index: DataFrame, with_payload=True) -> DataFrame:
+def read_bundles(index: DataFrame, with_payload=True, frames_at_once: int = FRAMES_AT_ONCE,
+                 read_bytes: int = READ_BYTES) -> DataFrame:
     """All records of the bundles an index names: (page_id, url, payload_bytes, payload_digest,
     record_type, refers_to, payload). Digests of stored payloads are recomputed and must match."""
-    # Frames, not bundles, are the unit of work: a large bundle is read by many tasks.
-    frames = index.select("bundle", "frame").distinct().sortWithinPartitions("bundle", "frame")
+    # Stretches of frames, not bundles, are the unit of work. Rows of frames are small, whatever they stand for,
+    # so the number of tasks comes from the plain bytes.
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(-(-total // read_bytes), index.sparkSession.sparkContext.defaultParallelism)
+    frames = index.select("bundle", "frame").distinct().repartition(
+        tasks, "bundle", F.floor(F.col("frame") / frames_at_once)).sortWithinPartitions("bundle", "frame")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, opened = None, None

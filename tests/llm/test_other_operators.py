@@ -145,6 +145,18 @@ def test_bundles_round_trip(spark, tmp_path, monkeypatch):
     assert warc_bundles.read_bundles(warc_bundles.write_bundles(pages.limit(0))).collect() == []
 
 
+def test_frames_of_a_bundle_are_read_by_several_tasks(spark):
+    """The rows that name frames are few bytes; what is read is not."""
+    draw = random.Random(6)
+    pages = spark.createDataFrame(
+        [(k, "u", draw.randbytes(400_000).hex()) for k in range(8)], "page_id long, url string, html string").coalesce(1)
+    index = warc_bundles.write_bundles(pages)
+    assert index.select("bundle").distinct().count() == 1 and index.select("frame").distinct().count() == 8
+    read = warc_bundles.read_bundles(index, frames_at_once=1, read_bytes=1 << 20)
+    rows = read.select("page_id", F.spark_partition_id().alias("task")).collect()
+    assert sorted(r.page_id for r in rows) == list(range(8)) and len({r.task for r in rows}) > 2
+
+
 def test_lines_and_lists_on_edge_rows(spark):
     rows = [(2, "a  B\n\nkeep", None, None, None), (1, "A b\nx", None, None, None), (3, None, None, None, None),
             (None, "x", None, None, None), (4, "", None, None, None), (5, "y\nY", None, None, None)]
