@@ -82,14 +82,13 @@ def may_link(buckets: np.ndarray, sizes: np.ndarray, other: np.ndarray, size: in
     return (least == FULL).any(1) | (100 * common >= SIMILARITY_PERCENT * (sizes + size - common))
 
 
-PROFILE = T.StructType().add("row_key", "long").add("n_shingles", "long").add("digest", "binary").add(
-    "signature", "binary")
+PROFILE = T.StructType().add("n_shingles", "long").add("digest", "binary").add("signature", "binary")
 
 
 def profiles(keyed: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, row_key, n_shingles, digest, signature) from (doc_id, row_key, text); sets without
     a shingle have neither digest nor signature."""
-    schema = T.StructType([keyed.schema["doc_id"], *PROFILE.fields])
+    schema = T.StructType([keyed.schema["doc_id"], keyed.schema["row_key"], *PROFILE.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,17 +286,20 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", width: in
                     block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, row_key, component) for every document.
 
-    ``row_key`` is a hash of id and text, ``component`` the smallest of the keys of its component.
+    ``row_key`` is a hash of id and text, ``component`` the smallest class number of its component, null
+    for documents without shingles.
     Documents without words, or null, have no shingles and are linked with nothing. Rows that
     repeat have equal sets and so are linked; a null id never is the smallest of a component
     that has others, and ids that repeat keep every row that has the smallest."""
     keyed = _keyed(docs, id_col, text_col)
     known = stored(profiles(keyed, width), "neardup-profiles")
-    # A class of equal sets goes by the smallest key of its rows.
+    # Classes of equal sets are numbered, once and for all since the numbers are stored; a hash of
+    # 64 bits in their place would make two classes one at some 10**10 documents.
     nodes = known.filter("n_shingles > 0").groupBy("digest").agg(
-        F.min("row_key").alias("node"), F.min("doc_id").alias("least_id"))
-    nodes = stored(nodes, "neardup-classes")
-    classes = known.join(nodes, [known["row_key"] == nodes["node"], known["digest"] == nodes["digest"]]).select(
+        F.min("row_key").alias("row_key"), F.min("doc_id").alias("least_id"))
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "neardup-classes")
+    member = nodes.select("node", "digest", F.col("row_key").alias("_key"))
+    classes = known.join(member, [known["row_key"] == member["_key"], known["digest"] == member["digest"]]).select(
         "node", "n_shingles", "signature").dropDuplicates(["node"])
     classes = stored(classes, "neardup-signatures")
 
@@ -312,7 +314,8 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", width: in
     # Texts that a comparison may need: one row per class, joined again for each set of pairs.
     needed = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).unionByName(
         files.filter("n > 2").select("node")).distinct()
-    texts = keyed.select(F.col("row_key").alias("node"), "text").join(needed, "node").dropDuplicates(["node"])
+    needed = nodes.select("node", "row_key").join(needed, "node")
+    texts = keyed.select("row_key", "text").join(needed, "row_key").select("node", "text").dropDuplicates(["node"])
     texts = stored(texts, "neardup-texts")
 
     links = stored(confirmed(stars, texts, width), "neardup-links")
@@ -339,15 +342,15 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", width: in
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("_id"))
     return joined.select(
         "doc_id", "n_shingles", component.alias("component_id"),
-        F.col("doc_id").eqNullSafe(component).alias("kept"), "row_key",
-        F.coalesce("component", "row_key").alias("component"))
+        F.col("doc_id").eqNullSafe(component).alias("kept"), "row_key", "component")
 
 
 def without_near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """The rows of ``docs`` of which one stays per component: that of the smallest id (null last),
     of rows that share it one alone. Documents without words stay, one for each id and text."""
     judged = near_duplicates(docs, id_col, text_col)
-    kept = judged.groupBy("component").agg(F.min(F.struct(
+    alone = F.when(F.col("component").isNull(), F.col("row_key"))
+    kept = judged.groupBy("component", alone.alias("alone")).agg(F.min(F.struct(
         F.col("doc_id").isNull(), "doc_id", "row_key"))["row_key"].alias("_key"))
     rows = docs.withColumn("_key", row_key(F.col(id_col).cast("string"), F.col(text_col)))
     return rows.join(kept.select("_key"), "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")

@@ -118,7 +118,7 @@ def mix_sources(docs: DataFrame, id_col="doc_id", text_col="text", source_col="s
     known = targets.join(blocks, "source_rank").select(
         F.col("source").alias("_source"), "source_rank", "source_size", "n_blocks",
         F.floor("target").alias("wanted"))
-    placed = sized.filter("size > 0").withColumn("place", F.pmod(F.col("row_key"), F.lit(1 << 48)))
+    placed = sized.filter("size > 0").withColumn("place", F.pmod(F.col("row_key.one"), F.lit(1 << 48)))
     placed = running_totals(placed, ["source"], "place", ["row_key", "doc_id", "size"], "size", "start")
     placed = placed.join(known, placed.source.eqNullSafe(known["_source"])).drop("_source")
 
