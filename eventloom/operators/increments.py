@@ -12,7 +12,8 @@ from eventloom.operators import audit
 from eventloom.operators.cleaning import KEYS, first_of_bursts, is_keyless, threshold_micros, whole_row
 from eventloom.schema import BURST_MS, REPETITION_SCHEMA
 
-CELL_KEYS = [*KEYS, "_alone", "_cell"]
+# The cell first, so that sorting by the keys compares numbers.
+CELL_KEYS = ["_cell", *KEYS, "_alone"]
 REPETITION_KEYS = [*KEYS, "event_date", "event_day"]
 MICROS_PER_DAY = times.SECONDS_PER_DAY * 1_000_000
 
@@ -27,13 +28,13 @@ def burst_cells(events: DataFrame, threshold_ms=BURST_MS) -> DataFrame:
         times.floor_to(F.coalesce(F.unix_micros("event_time"), F.lit(0)), width).alias("_cell"))
     cells = rows.groupBy(*CELL_KEYS).agg(F.min("_row").alias("first"), F.max("event_time").alias("last"))
     day = (times.floor_to(F.col("_cell"), MICROS_PER_DAY) / MICROS_PER_DAY).cast("bigint")
-    return cells.withColumn("day", day)
+    return cells.select(*KEYS, "_alone", "_cell", "first", "last", day.alias("day"))
 
 
 def merged_cells(cells: DataFrame) -> DataFrame:
     """One row per cell from those of several logs."""
-    return cells.groupBy(*CELL_KEYS, "day").agg(F.min("first").alias("first"), F.max("last").alias("last")).select(
-        *CELL_KEYS, "first", "last", "day")
+    return cells.groupBy("day", *CELL_KEYS).agg(F.min("first").alias("first"), F.max("last").alias("last")).select(
+        *KEYS, "_alone", "_cell", "first", "last", "day")
 
 
 def kept_of_cells(cells: DataFrame, threshold_ms=BURST_MS) -> DataFrame:
@@ -53,6 +54,6 @@ def repetition_days(events: DataFrame) -> DataFrame:
 def merged_repetition(days: DataFrame) -> DataFrame:
     """One row per user, event and day from those of several logs."""
     total = F.sum("frequency")
-    return days.groupBy(*REPETITION_KEYS, "day").agg(
+    return days.groupBy("day", *REPETITION_KEYS).agg(
         F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"),
         total.alias("frequency"), (total - 1).alias("repetitions_removed")).select(*REPETITION_SCHEMA.fieldNames(), "day")

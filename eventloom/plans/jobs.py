@@ -47,8 +47,10 @@ def add(spark: SparkSession, source: str, store: str, log: str, threshold_ms=BUR
 
 def add_events(spark, events, store, log, threshold_ms=BURST_MS) -> bool:
     return snapshots.add_log(spark, store, log, {
-        cells_name(threshold_ms): (increments.burst_cells(events, threshold_ms), increments.merged_cells),
-        "repetition": (increments.repetition_days(events), increments.merged_repetition)})
+        cells_name(threshold_ms): (
+            increments.burst_cells(events, threshold_ms), increments.merged_cells, increments.CELL_KEYS),
+        "repetition": (
+            increments.repetition_days(events), increments.merged_repetition, increments.REPETITION_KEYS)})
 
 
 def cells_name(threshold_ms) -> str:

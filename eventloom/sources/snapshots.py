@@ -47,8 +47,9 @@ def read_days(spark: SparkSession, store: str, table: str, listed: DataFrame) ->
 
 
 def add_log(spark: SparkSession, store: str, log: str, tables: dict) -> bool:
-    """Merge a log into a store. ``tables`` has, by name, its rows with a column ``day`` and the function
-    that merges rows of several logs. False, and nothing is done, where a log of that name is in.
+    """Merge a log into a store. ``tables`` has, by name, its rows with a column ``day``, the function that
+    merges rows of several logs, and the columns beside ``day`` that tell a log's rows apart and by
+    which it groups them. False, and nothing is done, where a log of that name is in.
     A store with other tables is an error: its logs were added with other settings."""
     number = manifest_number(spark, store)
     # Held as rows in the driver: one per table and day, and one per log.
@@ -60,17 +61,19 @@ def add_log(spark: SparkSession, store: str, log: str, tables: dict) -> bool:
         raise ValueError(f"{store} has the table {other['name']}, but not in the log {log}")
     run = uuid.uuid4().hex
     entries = [("log", log, None, run)]
-    for name, (rows, merge) in tables.items():
+    for name, (rows, merge, keys) in tables.items():
         fresh = stored(rows, f"snapshot-{name}")
         days = [r.day for r in fresh.select("day").distinct().collect()]
         if not days:
             continue
         before = read_days(spark, store, name, listed.where(F.col("day").isin(days)))
-        both = fresh if before is None else fresh.unionByName(before.select(*fresh.columns))
-        # Cut by the first columns as well, so that many tasks write a full day.
-        order = ["day", *fresh.columns[:4]]
-        merge(both).repartitionByRange(*order).sortWithinPartitions(*order).write.mode("errorifexists").partitionBy(
-            "day").parquet(f"{store}/data/{name}/run={run}")
+        # Cut by the keys as well, so that many tasks write a full day. Rows to merge meet by this one
+        # exchange and its order; those of a log alone are merged already.
+        order = ["day", *keys]
+        merged = fresh.repartitionByRange(*order) if before is None else merge(
+            fresh.unionByName(before.select(*fresh.columns)).repartitionByRange(*order))
+        merged.sortWithinPartitions(*order).write.mode("errorifexists").partitionBy("day").parquet(
+            f"{store}/data/{name}/run={run}")
         entries += [("day", name, day, run) for day in days]
     added = spark.createDataFrame(entries, MANIFEST)
     kept = listed.join(added, (listed["kind"] == added["kind"]) & (listed["name"] == added["name"])

@@ -46,12 +46,10 @@ def shaped(events: DataFrame) -> DataFrame:
 
 def with_copies(events: DataFrame) -> DataFrame:
     """Every event plus shifted copies of some, so that there are bursts."""
-    made = F.filter(
-        F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("n"),
-                           F.expr(f"interval {us} microseconds").alias("shift"))
-                  for k, n, us in COPIES]),
-        lambda copy: F.pmod(F.col("event_pos"), copy["n"]) == 0)
-    copies = events.withColumn("_copy", F.explode(made))
+    made = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("n"),
+                              F.expr(f"interval {us} microseconds").alias("shift")) for k, n, us in COPIES])
+    # All copies of a row and then a filter: both are compiled, a function over the array is not.
+    copies = events.withColumn("_copy", F.explode(made)).where(F.pmod("event_pos", F.col("_copy.n")) == 0)
     return shaped(copies.withColumns({
         "event_local": F.col("event_local") + F.col("_copy.shift"),
         "event_pos": F.col("event_pos") * 10 + F.col("_copy.k"),

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from eventloom.operators import audit, cleaning
+from eventloom.operators import audit, cleaning, increments
 from eventloom.plans import jobs
 from eventloom.sources import snapshots
 from eventloom.sources.readers import MissingInput
@@ -82,3 +82,22 @@ def test_an_empty_log_changes_nothing(spark, tmp_path):
     assert jobs.add_events(spark, events.limit(0), store, "empty")
     assert jobs.add_events(spark, events, store, "log") and jobs.add_events(spark, events.limit(0), store, "empty too")
     assert rows(jobs.read_store(spark, store)[0]) == rows(cleaning.cleaned_events(events))
+
+
+def test_rows_to_merge_travel_once(spark, tmp_path, monkeypatch):
+    """One exchange by range, whose order also serves the merge and the writer; a log alone needs no merge."""
+    seen = []
+
+    def watched(merge, keys):
+        def run(rows):
+            plan = merge(rows).sortWithinPartitions("day", *keys)._jdf.queryExecution().executedPlan().toString()
+            seen.append((plan.count("rangepartitioning"), plan.count("Exchange"), plan.count("+- Sort [")))
+            return merge(rows)
+        return run
+
+    for name, keys in (("merged_cells", increments.CELL_KEYS), ("merged_repetition", increments.REPETITION_KEYS)):
+        monkeypatch.setattr(increments, name, watched(getattr(increments, name), keys))
+    events = made_events(spark).cache()
+    for k in range(3):
+        assert jobs.add_events(spark, events.where(F.col("event_pos") % 3 == k), str(tmp_path), f"log{k}")
+    assert seen == [(1, 1, 1)] * 4
